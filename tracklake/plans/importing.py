@@ -11,7 +11,7 @@ from tracklake.operators.flatten import (flatten_played, flatten_playlist_items,
                                          normalise_features)
 from tracklake.operators.ingest import append_new, fill_nulls, ingest
 from tracklake.operators.scrape import feature_pairs, feature_rows
-from tracklake.schemas import KEYS, TABLES
+from tracklake.schemas import KEYS, table_schema
 from tracklake.session import settle
 from tracklake.sources.library import ParquetLibrary
 from tracklake.sources.pages import read_pages
@@ -41,7 +41,7 @@ def refresh_features(spark: SparkSession, feature_pages: DataFrame, tables: str,
     pages = feature_pages.join(todo.select(F.col("id").alias("track_id")), "track_id", "left_semi")
     raw = feature_rows(feature_pairs(pages, "track_id"), "track_id", MODEL_FEATURES)
     typed = normalise_features(raw).select(*[
-        F.col(f.name).try_cast(f.dataType).alias(f.name) for f in TABLES["track_features"]])
+        F.col(f.name).try_cast(f.dataType).alias(f.name) for f in table_schema("track_features")])
     rows = typed.withColumns({"page_no": F.lit(0), "item_pos": F.lit(0), "source_rank": F.lit(0), "pos": F.lit(0)})
     if on_conflict == "keep":
         append_new(spark, tables, "track_features", rows, reject_nulls=False)
