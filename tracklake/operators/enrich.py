@@ -47,6 +47,11 @@ def key_enrichment(rows: DataFrame, key: str = "key", scale: str = "scale", stre
     return rows.select(*kept, *key_features(F.col(key), F.col(scale), F.col(strength)))
 
 
+def half_up(value: Column, digits: int = 4) -> Column:
+    """Rounds half up as written in decimals: binary noise around a half is cut off first."""
+    return F.round(F.round(value, 10), digits)
+
+
 def composite_scores(rows: DataFrame) -> DataFrame:
     """Sixteen scores from pooled class scores.
 
@@ -57,7 +62,7 @@ def composite_scores(rows: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
     def r(value: Column) -> Column:
-        return F.round(value, 4)
+        return half_up(value)
 
     first = rows.withColumns({
         "_arousal": unit_scale(F.col("arousal_raw")), "danceability": r(cls("danceable")),
