@@ -68,7 +68,7 @@ def _components(d: VectorStats) -> list[Column]:
         code = music.strip(F.col("camelot"))
         shape = r"^(\d{1,2})([ABab])$"
         n = F.regexp_extract(code, shape, 1).try_cast("int")
-        number = F.coalesce(F.greatest(F.lit(0), F.least(F.lit(11), n - 1)), F.lit(0))
+        number = F.when(n.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(11), n - 1)))
         letter = F.when(F.upper(F.regexp_extract(code, shape, 2)) == "B", 1.0).otherwise(0.0)
     else:
         number = F.coalesce(music.camelot_number(F.col("camelot")), F.lit(d.camelot_number_default))
