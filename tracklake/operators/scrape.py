@@ -59,11 +59,12 @@ def match_candidates(queries: DataFrame, results: DataFrame) -> DataFrame:
     ``results`` (query, source_priority, title, description, url) holds the landed top hit per source. A hit
     without url is passed over, and so is a source without hit."""
     song, artist = split_query(F.col("query"))
-    wanted = queries.select("query").distinct().withColumn("song", song).withColumn("artist", artist)
+    wanted = queries.select("query").distinct()
     text = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "description")]
     hit = F.lit(False)
     for t in text:
-        hit = hit | F.contains(t, F.col("song")) | F.contains(t, F.col("artist"))
-    found = (results.join(wanted, "query").filter(hit & (F.coalesce(F.col("url"), F.lit("")) != ""))
+        hit = hit | F.contains(t, song) | F.contains(t, artist)
+    # Matching needs the query text only, so hits are reduced to one per query before anything is joined.
+    found = (results.filter(hit & (F.coalesce(F.col("url"), F.lit("")) != ""))
              .groupBy("query").agg(F.min_by("url", F.struct("source_priority", "url")).alias("url")))
-    return wanted.select("query").join(found, "query", "left").select("query", F.coalesce("url", F.lit("")).alias("url"))
+    return wanted.join(found, "query", "left").select("query", F.coalesce("url", F.lit("")).alias("url"))

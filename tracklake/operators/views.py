@@ -117,8 +117,9 @@ def refresh_slice(ids: DataFrame, offset: int = 0, limit: int | None = None) ->
 
 
 def playlists_seen(playlists: DataFrame, playlist_tracks: DataFrame) -> DataFrame:
-    placed = playlist_tracks.filter(F.col("playlist_order").isNotNull())
-    return playlists.select("playlist_id").join(placed.select("playlist_id"), "playlist_id", "left_semi").distinct()
+    """Playlists with stored items. Their ids are reduced before the join: a huge playlist counts as one row."""
+    placed = playlist_tracks.filter(F.col("playlist_order").isNotNull()).select("playlist_id").distinct()
+    return playlists.select("playlist_id").join(placed, "playlist_id", "left_semi").distinct()
 
 
 def playlists_todo(playlists: DataFrame, seen: DataFrame) -> DataFrame:

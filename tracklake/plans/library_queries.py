@@ -10,7 +10,7 @@ from tracklake.operators import flatten, ingest, selection, views
 from tracklake.plans.registry import query, shared
 from tracklake.session import scratch_path
 from tracklake.sources import csv_files, labels, pages
-from tracklake.sources.library import StarLibrary
+from tracklake.sources.library import StarLibrary, spread
 from tracklake.streaming.plays import ingest_keyed_stream
 
 FEATURES_SQL = ", ".join(f"f.{c}" for c in MODEL_FEATURES)
@@ -123,7 +123,7 @@ def _url(prefix: str, key) -> F.Column:
 
 def _line_tracks(lib: StarLibrary) -> DataFrame:
     """One nested track per order line: the part, its brand as album, supplier and brand as artists."""
-    line = (lib.lineitem.join(lib.part, F.col("l_partkey") == F.col("p_partkey"))
+    line = (spread(lib.lineitem).join(lib.part, F.col("l_partkey") == F.col("p_partkey"))
             .join(lib.supplier, F.col("l_suppkey") == F.col("s_suppkey")))
     brand = F.struct(F.col("p_brand").alias("id"), F.col("p_brand").alias("name"), _url("urn:ar:", F.col("p_brand")).alias("external_urls"))
     maker = F.struct(F.concat(F.lit("ar"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"),

@@ -24,11 +24,12 @@ DERIVED = {
                CAST(count(*) AS INT) AS total_tracks, concat('urn:img:', p_brand) AS image_url,
                concat('urn:al:', p_brand) AS album_url
         FROM part GROUP BY p_brand""",
+    # Artists of an album: the suppliers it is numbered for, if they are of the nation of the same number.
     "album_artists": """
         SELECT concat('Brand#', CAST(1 + s_suppkey % 25 AS STRING)) AS album_id,
                concat('ar', CAST(s_suppkey AS STRING)) AS artist_id,
                CAST(floor(s_suppkey / 25) AS INT) AS artist_order
-        FROM supplier""",
+        FROM supplier WHERE s_nationkey = s_suppkey % 25""",
     "tracks": """
         SELECT concat('t', CAST(p_partkey AS STRING)) AS id, p_name AS name, p_brand AS album_id,
                1 AS disc_number, p_size * 10000 AS duration_ms, p_partkey % 7 = 0 AS explicit,
@@ -141,6 +142,14 @@ def read_table_jdbc(spark: SparkSession, url: str, table: str, key: str | None =
     return reader.load()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a plain scan that comes in fewer pieces than there are cores; larger inputs pass unchanged.
+
+    For work that is heavy per row, such as building or parsing nested text."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
