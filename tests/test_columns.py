@@ -12,7 +12,7 @@ from tracklake.operators.playlist import first_candidates, playlist_continuation
 from tracklake.operators.skew import global_index, salted_join
 from tracklake.operators.vectorise import fit_vectors, vectorise
 from tracklake.sources import index_store
-from tracklake.sources.labels import labels_from_metadata
+from tracklake.sources.labels import labels_from_metadata, read_labels
 
 
 def one(spark, column, **values):
@@ -143,6 +143,11 @@ def test_label_layouts(spark, meta, labels):
     assert one(spark, labels_from_metadata(F.col("m")), m=json.dumps(meta)) == labels
 
 
+def test_label_files(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"name": "x", "classes": ["a", "b"]}, indent=2))
+    assert [tuple(r) for r in read_labels(spark, str(tmp_path)).collect()] == [("m.json", ["a", "b"])]
+
+
 def test_pairs_of_lines(spark):
     html = "\n".join(['  <dt style="color:var(--dark-gray);font-size:1.25rem">BPM</dt> ', "<dd>120</dd>", "<dt>Energy</dt>", " <dd>55%</dd>",
                       "<dt>Key</dt>", "<dd>C♯ Minor</dd>", "<dt>Two words</dt>", "<dd>no</dd>", '<dt class="x">Other</dt>', "<dd>no</dd>"])

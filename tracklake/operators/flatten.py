@@ -69,7 +69,7 @@ def played_items(pages: DataFrame) -> DataFrame:
 
 
 def event_rows(items: DataFrame) -> DataFrame:
-    return items.select(F.col("track.id").alias("track_id"), F.to_timestamp("played_at").alias("played_at"),
+    return items.select(F.col("track.id").alias("track_id"), F.try_to_timestamp("played_at").alias("played_at"),
                         *_order(TRACK_RANK))
 
 

@@ -191,7 +191,7 @@ def knn_all_pairs(lib):
 
 @query("""SELECT id, nid, CAST(rn AS INT) AS rank, round(s, 6) + 0.0 AS score FROM (
             SELECT id, nid, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, nid) AS rn FROM (
-              SELECT a.label AS id, b.id AS nid, list_dot_product(a.vector, b.vector) AS s
+              SELECT CAST(a.label AS BIGINT) AS id, b.id AS nid, list_dot_product(a.vector, b.vector) AS s
               FROM (SELECT label, list(m ORDER BY pos) AS vector FROM (
                       SELECT label, pos, avg(v) AS m FROM (
                         SELECT label, unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM points) u
@@ -199,10 +199,10 @@ def knn_all_pairs(lib):
           WHERE rn <= 5""")
 def search_label_centers(lib):
     """The five embeddings closest to the mean of every label: a batch of queries against the index."""
-    points = _points(lib)
+    points = settle(_points(lib))
     pooled = enrich.mean_pool(points, ["label"], "vector")
     centers = pooled.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("vector"))
-    return rounded(search_batch(points, centers.select(F.col("label").alias("id"), "vector"), 5), ["score"])
+    return rounded(search_batch(points, settle(centers.select(F.col("label").cast("bigint").alias("id"), "vector")), 5), ["score"])
 
 
 @query(f"SELECT track_id, {_COMPONENTS}, TRUE AS is_current FROM idx_vec")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---- fixed values: places where a metadata document may hold its label list, in order of preference ----
@@ -25,3 +25,9 @@ def labels_from_metadata(body: Column) -> Column:
             named)
 
     return F.coalesce(*[at(p) for p in LABEL_PATHS])
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(file, labels) for metadata files, one JSON document each."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_name").alias("file"), labels_from_metadata(F.col("value")).alias("labels"))

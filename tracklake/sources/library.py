@@ -132,16 +132,6 @@ class StarLibrary(Library):
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
 
-def read_table_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
-                    bounds: tuple[int, int] | None = None, partitions: int = 64) -> DataFrame:
-    """Scan a table of an existing relational database; a numeric key splits the scan over executors."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    if key and bounds:
-        reader = (reader.option("partitionColumn", key).option("lowerBound", bounds[0])
-                  .option("upperBound", bounds[1]).option("numPartitions", partitions))
-    return reader.load()
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Deal out a plain scan that comes in fewer pieces than there are cores; larger inputs pass unchanged.
 
