@@ -102,6 +102,20 @@ def dbscan_core_points(lib):
     return owner.join(cores.withColumnRenamed("id", "vid"), "vid").select("id", F.get("cores", F.lit(0)).isNotNull().alias("is_core"))
 
 
+@query("""WITH RECURSIVE
+            near AS (SELECT a.id AS a, b.id AS b FROM points a JOIN points b ON list_distance(a.vector, b.vector) <= 0.9),
+            core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 4),
+            link AS (SELECT n.a, n.b FROM near n JOIN core x ON x.id = n.a JOIN core y ON y.id = n.b WHERE n.a <> n.b),
+            reach(id, root) AS (SELECT id, id FROM core UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.id AND r.root < l.b),
+            part AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT id, min(root) AS root FROM reach GROUP BY id) m),
+            edge AS (SELECT n.a AS id, min(p.cluster) AS cluster FROM near n JOIN part p ON p.id = n.b GROUP BY n.a)
+          SELECT p.id, CAST(coalesce(c.cluster, e.cluster, -1) AS INT) AS cluster
+          FROM points p LEFT JOIN part c ON c.id = p.id LEFT JOIN edge e ON e.id = p.id""")
+def dbscan_labels(lib):
+    """One setting of the sweep: core, border and noise rows with their cluster numbers."""
+    return density.dbscan(_points(lib), ["id"], 0.9, 4)
+
+
 @query("""SELECT cluster, tracks FROM (
             SELECT g.root, dense_rank() OVER (ORDER BY g.root) - 1 AS cluster, g.tracks FROM (
               SELECT root, count(*) AS tracks FROM (

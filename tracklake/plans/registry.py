@@ -32,7 +32,11 @@ def oracle_text(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({_SHARED[n]})" for n in needed) + "\n" + body
+    shared_text = ",\n".join(f"{n} AS ({_SHARED[n]})" for n in needed)
+    own = "WITH RECURSIVE"
+    if body.lstrip().startswith(own):  # the query brings definitions of its own
+        return f"{own} {shared_text},\n" + body.lstrip()[len(own):]
+    return f"WITH {shared_text}\n{body}"
 
 
 def query(sql: str | None = None):

@@ -338,6 +338,8 @@ def cluster_focus(lib):
 
 
 _AXES = ["x", "y", "z"]
+shared("plane", """SELECT vec_id, coalesce(CAST(CASE WHEN label < 9 THEN label END AS STRING), 'unclustered') AS cluster,
+    CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings""")
 
 
 @query("""SELECT vec_id, round(p, 6) + 0.0 AS proximity FROM (
@@ -352,10 +354,14 @@ def neighbours_in_axes(lib):
     return rounded(explore.axis_neighbours(rows, first, _AXES, "vec_id").select("vec_id", "proximity"), ["proximity"])
 
 
-@query()
+# A pair of points is an outline edge when no point of the cluster lies to its right.
+@query("""SELECT DISTINCT a.cluster, a.x, a.y FROM plane a JOIN plane b ON a.cluster = b.cluster AND a.vec_id <> b.vec_id
+          LEFT JOIN plane c ON c.cluster = a.cluster AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+                           AND c.vec_id <> a.vec_id AND c.vec_id <> b.vec_id
+          WHERE c.vec_id IS NULL""")
 def cluster_hull(lib):
     rows = _clustered(lib).withColumns({"x": F.get("embedding", F.lit(0)), "y": F.get("embedding", F.lit(1))})
-    return explore.cluster_hulls(rows, "x", "y")
+    return explore.cluster_hulls(rows, "x", "y").select("cluster", "x", "y")
 
 
 # ---------------------------------------------------------------- enrichment

@@ -24,12 +24,11 @@ DERIVED = {
                CAST(count(*) AS INT) AS total_tracks, concat('urn:img:', p_brand) AS image_url,
                concat('urn:al:', p_brand) AS album_url
         FROM part GROUP BY p_brand""",
-    # Artists of an album: the suppliers it is numbered for, if they are of the nation of the same number.
+    # Artists of an album: the indebted suppliers of the nation it is numbered for.
     "album_artists": """
-        SELECT concat('Brand#', CAST(1 + s_suppkey % 25 AS STRING)) AS album_id,
-               concat('ar', CAST(s_suppkey AS STRING)) AS artist_id,
-               CAST(floor(s_suppkey / 25) AS INT) AS artist_order
-        FROM supplier WHERE s_nationkey = s_suppkey % 25""",
+        SELECT concat('Brand#', CAST(1 + s_nationkey AS STRING)) AS album_id,
+               concat('ar', CAST(s_suppkey AS STRING)) AS artist_id, CAST(s_suppkey AS INT) AS artist_order
+        FROM supplier WHERE s_acctbal < 0""",
     "tracks": """
         SELECT concat('t', CAST(p_partkey AS STRING)) AS id, p_name AS name, p_brand AS album_id,
                1 AS disc_number, p_size * 10000 AS duration_ms, p_partkey % 7 = 0 AS explicit,
