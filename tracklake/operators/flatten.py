@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklake.functions.music import clean_key
+from tracklake.session import settle
 
 ORDER = ["page_no", "item_pos", "source_rank", "pos"]
 TRACK_RANK, ALBUM_RANK = 0, 1
@@ -73,9 +74,11 @@ def event_rows(items: DataFrame) -> DataFrame:
                         *_order(TRACK_RANK))
 
 
-def flatten_played(pages: DataFrame) -> dict[str, DataFrame]:
-    """Recently-played pages to tracks, albums, artists, bridges and play events."""
-    items = played_items(pages)
+def flatten_played(pages: DataFrame, settled: bool = False) -> dict[str, DataFrame]:
+    """Recently-played pages to tracks, albums, artists, bridges and play events.
+
+    ``settled`` parses the pages once into a nested table that all outputs then read, each its own fields."""
+    items = settle(played_items(pages)) if settled else played_items(pages)
     return {**relational(items), "track_events": event_rows(items)}
 
 
@@ -93,8 +96,9 @@ def playlist_track_rows(items: DataFrame) -> DataFrame:
     return items.select("playlist_id", "playlist_order", F.col("track.id").alias("track_id"), *_order(TRACK_RANK))
 
 
-def flatten_playlist_items(pages: DataFrame) -> dict[str, DataFrame]:
-    items = playlist_items(pages)
+def flatten_playlist_items(pages: DataFrame, settled: bool = False) -> dict[str, DataFrame]:
+    """Playlist-item pages to tracks, albums, artists, bridges and playlist positions."""
+    items = settle(playlist_items(pages)) if settled else playlist_items(pages)
     return {**relational(items), "playlist_tracks": playlist_track_rows(items)}
 
 

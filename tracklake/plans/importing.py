@@ -20,14 +20,14 @@ from tracklake.sources.pages import read_pages
 def import_pages(spark: SparkSession, landed: str, tables: str, user_id: str) -> dict[str, DataFrame]:
     """Plays, the user's playlists and the items of playlists not stored yet; returns rejected rows per table."""
     rejected = {f"played.{k}": v for k, v in
-                ingest(spark, tables, flatten_played(read_pages(spark, f"{landed}/played", "played"))).items()}
+                ingest(spark, tables, flatten_played(read_pages(spark, f"{landed}/played", "played"), settled=True)).items()}
     mine = flatten_playlists(read_pages(spark, f"{landed}/playlists", "playlists"), user_id)
     stored = ParquetLibrary(spark, tables)
     seen = views.playlists_seen(mine.select("playlist_id"), stored.playlist_tracks)
     todo = settle(views.playlists_todo(mine.select("playlist_id").distinct(), seen))
     rejected["playlists"] = append_new(spark, tables, "playlists", mine)
     items = read_pages(spark, f"{landed}/playlist_items", "playlist_items").join(todo, "playlist_id", "left_semi")
-    rejected.update({f"items.{k}": v for k, v in ingest(spark, tables, flatten_playlist_items(items)).items()})
+    rejected.update({f"items.{k}": v for k, v in ingest(spark, tables, flatten_playlist_items(items, settled=True)).items()})
     return rejected
 
 
