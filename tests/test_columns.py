@@ -9,7 +9,7 @@ from tracklake.constants import NUMERIC_FEATURES
 from tracklake.functions import music
 from tracklake.operators import enrich, explore, scrape, search
 from tracklake.operators.playlist import first_candidates, playlist_continuation, seed_average
-from tracklake.operators.skew import global_index, salted_join
+from tracklake.operators.skew import global_index, hot_join
 from tracklake.operators.vectorise import fit_vectors, vectorise
 from tracklake.sources import index_store
 from tracklake.sources.labels import labels_from_metadata, read_labels
@@ -206,10 +206,14 @@ def test_hull(spark):
         assert set(ring) <= set(map(tuple, mine.tolist()))
 
 
-def test_salted_join_and_positions(spark):
+def test_hot_join_and_positions(spark):
     facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"), "id")
     lookup = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    want = sorted(map(tuple, facts.join(lookup, "k", "left").select("id", "k", "v").collect()), key=str)
-    assert sorted(map(tuple, salted_join(facts, lookup, ["k"], "left").select("id", "k", "v").collect()), key=str) == want
+    weighted = lookup.join(facts.groupBy("k").agg(F.count("*").alias("weight")), "k")
+    for how in ("left", "inner"):
+        want = sorted(map(tuple, facts.join(lookup, "k", how).select("id", "k", "v").collect()), key=str)
+        for hot_rows in (10, 200, 10_000):
+            got = hot_join(facts, weighted, ["k"], how=how, hot_rows=hot_rows).select("id", "k", "v")
+            assert sorted(map(tuple, got.collect()), key=str) == want
     placed = global_index(facts.select("id", F.xxhash64("id").alias("h")), ["h"]).orderBy("h").collect()
     assert [r["pos"] for r in placed] == list(range(3000))

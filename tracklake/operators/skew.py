@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracklake.session import settle
 
-SALTS = 16
+HOT_KEYS = 1000       # a key is hot above a thousandth of all rows, so there are fewer hot keys than this
+HOT_ROWS = 100_000    # and never below this many rows
 
 
-def salted_join(facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", spread: Column | None = None,
-                salts: int = SALTS) -> DataFrame:
-    """Join many ``facts`` rows per key to few ``lookup`` rows per key.
+def hot_join(facts: DataFrame, lookup: DataFrame, on: list[str], weight: str = "weight", how: str = "inner",
+             hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join stored ``facts`` to a stored ``lookup`` with one row per key, whose ``weight`` is the number of facts per key.
 
-    The rows of one key go to ``salts`` tasks by a hash of ``spread``; the lookup side, which is the small
-    one, is repeated once per salt. Used where a hot key is to be expected and the plan around the join
-    keeps adaptive execution from splitting it."""
-    spread = F.xxhash64(*[F.col(c) for c in facts.columns if c not in on]) if spread is None else spread
-    left = facts.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
-    right = lookup.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    The weights tell the hot keys beforehand. These few lookup rows are broadcast, so the facts of a hot key stay
+    where they are; all other facts take an ordinary join. The weight is dropped."""
+    sums = lookup.agg(F.sum(weight).alias("total"), F.max(weight).alias("most")).first()
+    limit = max((sums["total"] or 0) / HOT_KEYS, hot_rows)
+    if (sums["most"] or 0) <= limit:
+        return facts.join(lookup.drop(weight), on, how)
+    hot = lookup.filter(F.col(weight) > limit).drop(weight)
+    cold = lookup.filter(F.col(weight) <= limit).drop(weight)
+    rest = facts.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return facts.join(F.broadcast(hot), on).unionByName(rest)
 
 
 def global_index(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
