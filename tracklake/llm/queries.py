@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, pii, secret_scan
+from tracklake.llm import compression, licenses, packing, pii, secret_scan
 from tracklake.llm.registry import query, table
 
 
@@ -19,3 +19,13 @@ def op6_personal_data(spark, folder):
 @query()
 def op9_secrets(spark, folder):
     return secret_scan.secrets(table(spark, folder, "documents")).drop("base", "tested")
+
+
+@query()
+def op3_license_rules(spark, folder):
+    return licenses.license_scan(table(spark, folder, "documents"))
+
+
+@query()
+def op10_conflict_packing(spark, folder):
+    return packing.pack(packing.measured(table(spark, folder, "documents")))
