@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.session import settle
+
 CAPACITY = 4_096     # words of a bin
 PER_SOURCE = 4       # pieces of one source that a bin may hold
 SHARD_BINS = 2_000   # bins a shard is meant to fill; one task packs a shard
 WORDS = r"[^\x20\x09-\x0D]+"
-PIECE = "piece int, start long, n_words long, source string, cluster string"
-RESULT = "doc_id {id}, piece int, start long, n_words long, bin_id string, bin_offset long, bin_fill long"
+RESULT = "doc_id string, piece int, start long, n_words long, bin_id string, bin_offset long, bin_fill long"
 
 
 class Bins:
@@ -100,22 +101,24 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOU
     task holds a bounded number of small rows (about ``shard_bins`` bins). Documents without words have one row of length 0
     without a bin. Null sources or clusters conflict with nothing; repeated rows are packed each (as copies they share a
     cluster and go to different bins); null ids are dealt like others. An empty table gives an empty result."""
+    lengths = settle(lengths)  # small rows: the words are counted once
     total = lengths.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // (capacity * shard_bins)))
     tail = F.greatest(F.lit(0), F.ceil(F.col("n_words") / capacity) - 1)
     pieces = (lengths.withColumn("piece", F.explode(F.sequence(F.lit(0), tail.cast("int"))))
               .withColumn("start", F.col("piece").cast("long") * capacity)
               .withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("n_words") - F.col("start"))))
-    id_type = lengths.schema["doc_id"].dataType.simpleString()
-    result = RESULT.format(id=id_type)
+    id_type = lengths.schema["doc_id"].dataType
     bare = pieces.filter("n_words = 0").select("doc_id", "piece", "start", "n_words", F.lit(None).cast("string").alias("bin_id"),
                                                F.lit(None).cast("long").alias("bin_offset"), F.lit(None).cast("long").alias("bin_fill"))
     # Rows without an id are told apart by their place in the input.
     place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     dealt = pieces.withColumn("_place", place).filter("n_words > 0").withColumn(
-        "_shard", F.pmod(F.xxhash64("doc_id", "piece", "_place"), F.lit(shards)).cast("int")).drop("_place")
+        "_shard", F.pmod(F.xxhash64("doc_id", "piece", "_place"), F.lit(shards)).cast("int")).withColumn(
+        "doc_id", F.col("doc_id").cast("string")).drop("_place")  # pandas has no whole numbers with nulls
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(frame, capacity, per_source, str(key[0]))
 
-    return dealt.groupBy("_shard").applyInPandas(run, result).unionByName(bare)
+    packed = dealt.groupBy("_shard").applyInPandas(run, RESULT)
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type)).unionByName(bare)
