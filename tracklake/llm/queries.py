@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, licenses, packing, pii, secret_scan
+from tracklake.llm import compression, licenses, packing, pii, secret_scan, toxicity
 from tracklake.llm.registry import query, table
 
 
@@ -29,3 +29,8 @@ def op3_license_rules(spark, folder):
 @query()
 def op10_conflict_packing(spark, folder):
     return packing.pack(packing.measured(table(spark, folder, "documents")))
+
+
+@query()
+def op4_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
