@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, licenses, packing, pii, secret_scan, toxicity
+from tracklake.llm import compression, decontamination, licenses, packing, pii, quality, secret_scan, toxicity
 from tracklake.llm.registry import query, table
 
 
@@ -34,3 +34,13 @@ def op10_conflict_packing(spark, folder):
 @query()
 def op4_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op7_positive_unlabelled_quality(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(decontamination.ORACLE_SQL)
+def op1_template_decontamination(spark, folder):
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

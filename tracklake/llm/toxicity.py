@@ -14,7 +14,7 @@ from tracklake.llm.features import Hasher
 
 BITS = 20            # 2 ** BITS slots: the proven bound of the weights that are broadcast
 MAX_ROWS = 20_000    # labelled rows a model is fitted on at most (a sample by hash of the id)
-SHARD_ROWS = 5_000   # rows that one task fits on; the weights of several shards are averaged by slot
+SHARD_ROWS = 20_000  # rows that one task fits on; the weights of several shards are averaged by slot
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 1e-3
 EPOCHS = 4
 FOLDS, HELD_OUT = 5, 0
