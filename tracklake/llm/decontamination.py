@@ -23,22 +23,24 @@ def _marked(t: Column) -> Column:
     return t.isin(".", "!", "?", "\n")
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<raw, canon>>: the tokens without sentence marks, each with its template form."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    previous = F.transform(found, lambda t, i: F.struct(t.alias("raw"), F.get(found, i - 1).alias("before")))
+def tokenised(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
+    """``keep``, ``_raw`` (the tokens without sentence marks) and ``_canon`` (their template forms).
 
-    def form(p: Column) -> Column:
-        raw, before = p["raw"], p["before"]
+    Columns that lambdas look into are made one projection earlier: an expression inside a lambda runs for every element."""
+    df = df.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("_found"))
+
+    def form(raw: Column, i: Column) -> Column:
+        before = F.get("_found", i - 1)
         number = lambda c: F.substring(c, 1, 1).between("0", "9")
-        capital = (raw == F.concat(F.upper(F.substring(raw, 1, 1)), F.lower(raw.substr(F.lit(2), F.length(raw))))) & (raw != F.lower(raw))
-        canon = (F.when(number(raw), NUMBER)
-                 .when(before.isNotNull() & number(before) & F.lower(raw).isin(*UNITS), UNIT)
-                 .when(before.isNotNull() & ~_marked(before) & capital, NAME)
-                 .otherwise(F.lower(raw)))
-        return F.struct(raw.alias("raw"), canon.alias("canon"))
+        name = (raw != F.lower(raw)) & (raw == F.concat(F.upper(F.substring(raw, 1, 1)), F.lower(raw.substr(F.lit(2), F.length(raw)))))
+        return (F.when(_marked(raw), F.lit(None)).when(number(raw), NUMBER)
+                .when(before.isNotNull() & number(before) & F.lower(raw).isin(*UNITS), UNIT)
+                .when(before.isNotNull() & ~_marked(before) & name, NAME)
+                .otherwise(F.lower(raw)))
 
-    return F.transform(F.filter(previous, lambda p: ~_marked(p["raw"])), form)
+    names = [c for c in df.columns if c != "_found"]
+    return df.select(*names, F.filter("_found", lambda t: ~_marked(t)).alias("_raw"),
+                     F.filter(F.transform("_found", form), lambda c: c.isNotNull()).alias("_canon"))
 
 
 def _literals(window: Column) -> Column:
@@ -52,13 +54,12 @@ def _hashes(canon: Column, width: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, at, key, item_canon, item_raw, n_item_windows) for every window with enough literals."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(text_col)).alias("_t")).filter(F.size("_t") >= width)
-    items = items.select("item_id", F.col("_t.canon").alias("_canon"), F.col("_t.raw").alias("_raw"))
+    items = tokenised(benchmark, text_col, F.col(item_col).alias("item_id")).filter(F.size("_canon") >= width)
     windows = items.select("item_id", F.expr(f"""transform(sequence(1, size(_canon) - {width - 1}), i -> struct(
         i AS at, slice(_canon, i, {width}) AS item_canon, slice(_raw, i, {width}) AS item_raw))""").alias("_w"))
     windows = windows.withColumn("_w", F.filter("_w", lambda w: _literals(w["item_canon"]) >= MIN_LITERALS))
-    return (windows.withColumn("n_item_windows", F.size("_w")).select("item_id", "n_item_windows", F.explode("_w").alias("_w"))
-            .select("item_id", "n_item_windows", "_w.*", F.xxhash64("_w.item_canon").alias("key")))
+    return (windows.withColumn("n_item_windows", F.size("_w")).select("item_id", "n_item_windows", F.explode_outer("_w").alias("_w"))
+            .filter("_w IS NOT NULL").select("item_id", "n_item_windows", "_w.*", F.xxhash64("_w.item_canon").alias("key")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_windows: int = MIN_WINDOWS, id_col: str = "doc_id",
@@ -74,14 +75,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_window
     together; a null id is an id of its own. Repeated items count as one. An empty table on either side gives an empty result; other columns are
     not read."""
     windows = benchmark_windows(benchmark, width)
-    made = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_t"))
-    made = made.select("doc_id", F.col("_t.raw").alias("_raw"), F.col("_t.canon").alias("_canon"))
+    # The outer explode keeps the optimizer from deriving a filter on the keys, which would move into the tokenising lambdas.
+    made = tokenised(docs, text_col, F.col(id_col).alias("doc_id"))
     made = made.withColumn("_keys", _hashes(F.col("_canon"), width))
     agreed = (F.slice("_canon", F.col("pos") + 1, width) == F.col("item_canon"))
     if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        hits = made.select("doc_id", "_raw", "_canon", F.posexplode("_keys").alias("pos", "key")).join(F.broadcast(windows), "key").filter(agreed)
+        hits = made.select("doc_id", "_raw", "_canon", F.posexplode_outer("_keys").alias("pos", "key")).join(F.broadcast(windows), "key").filter(agreed)
     else:
-        places = made.select("doc_id", F.posexplode("_keys").alias("pos", "key"))
+        places = made.select("doc_id", F.posexplode_outer("_keys").alias("pos", "key"))
         found = places.join(windows, "key")
         hits = made.select(F.col("doc_id").alias("_doc"), "_raw", "_canon").join(found, F.col("_doc").eqNullSafe(F.col("doc_id"))).filter(agreed)
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.struct(
@@ -89,7 +90,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_window
         F.get("_raw", F.col("pos") + k).alias("given"))), lambda s: s["kind"].isin(NUMBER, UNIT, NAME))
     aligned = (hits.select("doc_id", "item_id", "at", "n_item_windows", (F.col("pos") + 1 - F.col("at")).alias("shift"), slots.alias("_slots"))
                .groupBy("doc_id", "item_id", "shift")
-               .agg(F.count_distinct("at").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
+               .agg(F.size(F.collect_set("at")).cast("long").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
                     F.array_distinct(F.flatten(F.collect_list("_slots"))).alias("_slots")))
     asked = F.transform("_slots", lambda s: F.struct(s["kind"], s["asked"]))
     aligned = (aligned.filter(F.size(F.array_distinct(asked)) == F.size("_slots"))
@@ -110,21 +111,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 _IN = "(" + ", ".join(f"'{u}'" for u in UNITS) + ")"
-_FORMS = """list_filter(list_transform(tok, (x, i) -> {{'raw': x, 'canon': CASE WHEN x IN ('.', '!', '?', chr(10)) THEN NULL
-  WHEN x[1] BETWEEN '0' AND '9' THEN '<number>'
-  WHEN i > 1 AND tok[i - 1][1] BETWEEN '0' AND '9' AND lower(x) IN {units} THEN '<unit>'
-  WHEN i > 1 AND tok[i - 1] NOT IN ('.', '!', '?', chr(10)) AND x = upper(x[1]) || lower(x[2:]) AND x <> lower(x) THEN '<name>'
-  ELSE lower(x) END}}), p -> p.canon IS NOT NULL)""".format(units=_IN)
-_CUT = """SELECT id, generate_subscripts(canon, 1) AS at, canon, raw FROM (
-  SELECT id, list_transform(p, x -> x.canon) AS canon, list_transform(p, x -> x.raw) AS raw FROM (
-    SELECT id, {forms} AS p FROM (SELECT {id} AS id, regexp_extract_all(coalesce(text, ''), '{token}') AS tok FROM {table}) a) b) c"""
 _SLOT = "('<number>', '<unit>', '<name>')"
 
 
 def _windows_sql(table: str, key: str) -> str:
-    cut = _CUT.format(forms=_FORMS, id=key, table=table, token=TOKEN.replace("'", "''"))
-    last = WINDOW - 1
-    return (f"SELECT id, at, canon[at:at + {last}] AS canon, raw[at:at + {last}] AS raw FROM ({cut}) w WHERE at + {last} <= len(canon)")
+    marks = "('.', '!', '?', chr(10))"
+    return f"""SELECT * FROM (SELECT id, row_number() OVER w AS at, list(canon) OVER (w ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS canon,
+    list(x) OVER (w ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS raw
+  FROM (SELECT id, i, x, CASE WHEN x[1] BETWEEN '0' AND '9' THEN '<number>'
+      WHEN before[1] BETWEEN '0' AND '9' AND lower(x) IN {_IN} THEN '<unit>'
+      WHEN before NOT IN {marks} AND x = upper(x[1]) || lower(x[2:]) AND x <> lower(x) THEN '<name>' ELSE lower(x) END AS canon
+    FROM (SELECT id, i, x, lag(x) OVER (PARTITION BY id ORDER BY i) AS before
+      FROM (SELECT {key} AS id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i
+        FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tok FROM {table})))
+    WHERE x NOT IN {marks})
+  WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE len(canon) = {WINDOW}"""
 
 
 ORACLE_SQL = f"""
