@@ -116,7 +116,7 @@ _SLOT = "('<number>', '<unit>', '<name>')"
 
 def _windows_sql(table: str, key: str) -> str:
     marks = "('.', '!', '?', chr(10))"
-    return f"""SELECT * FROM (SELECT id, row_number() OVER w AS at, list(canon) OVER (w ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS canon,
+    return f"""SELECT * FROM (SELECT id, row_number() OVER w AS spot, list(canon) OVER (w ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS canon,
     list(x) OVER (w ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS raw
   FROM (SELECT id, i, x, CASE WHEN x[1] BETWEEN '0' AND '9' THEN '<number>'
       WHEN before[1] BETWEEN '0' AND '9' AND lower(x) IN {_IN} THEN '<unit>'
@@ -130,11 +130,11 @@ def _windows_sql(table: str, key: str) -> str:
 
 ORACLE_SQL = f"""
 WITH item AS (SELECT DISTINCT * FROM ({_windows_sql('benchmark', 'item_id')}) q
-              WHERE len(list_filter(canon, c -> c NOT IN {_SLOT})) >= {MIN_LITERALS}),
+              WHERE len(list_filter(canon, lambda c: c NOT IN {_SLOT})) >= {MIN_LITERALS}),
 total AS (SELECT id, count(*) AS n FROM item GROUP BY id),
-hit AS (SELECT d.id AS doc_id, i.id AS item_id, i.at, d.at - i.at AS shift, d.canon, d.raw AS given, i.raw AS asked
+hit AS (SELECT d.id AS doc_id, i.id AS item_id, i.spot, d.spot - i.spot AS shift, d.canon, d.raw AS given, i.raw AS asked
         FROM ({_windows_sql('documents', 'doc_id')}) d JOIN item i ON d.canon = i.canon),
-counted AS (SELECT doc_id, item_id, shift, count(DISTINCT at) AS n FROM hit GROUP BY ALL),
+counted AS (SELECT doc_id, item_id, shift, count(DISTINCT spot) AS n FROM hit GROUP BY ALL),
 slot AS (SELECT DISTINCT doc_id, item_id, shift, canon[k] AS kind, asked[k] AS asked, given[k] AS given
          FROM hit, (SELECT unnest(range(1, {WINDOW + 1})) AS k) ks WHERE canon[k] IN {_SLOT}),
 filled AS (SELECT doc_id, item_id, shift, count(*) AS n_all, count(DISTINCT kind || ' ' || asked) AS n_asked,
