@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, decontamination, licenses, packing, pii, quality, secret_scan, toxicity
+from tracklake.llm import compression, decontamination, licenses, packing, pii, quality, secret_scan, signature_tree, toxicity
 from tracklake.llm.registry import query, table
 
 
@@ -44,3 +44,8 @@ def op7_positive_unlabelled_quality(spark, folder):
 @query(decontamination.ORACLE_SQL)
 def op1_template_decontamination(spark, folder):
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(signature_tree.ORACLE_SQL)
+def op8_signature_tree_join(spark, folder):
+    return signature_tree.jaccard_components(table(spark, folder, "documents"))
