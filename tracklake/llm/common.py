@@ -73,3 +73,13 @@ def components(edges: DataFrame) -> DataFrame:
         if not after.filter("moved").limit(1).count():
             return after.drop("moved")
         labels = after.drop("moved")
+
+
+BROADCAST_IDS = 1_000_000  # ids of eight bytes: a broadcast of at most some tens of megabytes
+
+
+def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among the stored, distinct ``ids``: by broadcast while these are few, else by a
+    shuffled semi join with the same rows."""
+    few = ids.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")

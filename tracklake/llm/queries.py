@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, decontamination, licenses, packing, pii, quality, secret_scan, signature_tree, toxicity
+from tracklake.llm import compression, decontamination, licenses, packing, pii, quality, recompression, secret_scan, signature_tree, toxicity
 from tracklake.llm.registry import query, table
 
 
@@ -49,3 +49,8 @@ def op1_template_decontamination(spark, folder):
 @query(signature_tree.ORACLE_SQL)
 def op8_signature_tree_join(spark, folder):
     return signature_tree.jaccard_components(table(spark, folder, "documents"))
+
+
+@query(recompression.ORACLE_SQL)
+def op2_recompression_dedup(spark, folder):
+    return recompression.dedup_substrings(table(spark, folder, "documents"))
