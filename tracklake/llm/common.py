@@ -83,3 +83,25 @@ def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFram
     shuffled semi join with the same rows."""
     few = ids.limit(most + 1).count() <= most
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def filter_rows(docs: DataFrame, keep: Callable[[str], bool], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, for whose text (null: empty) ``keep`` holds."""
+
+    def run(batches):
+        for part in slices(batches):
+            yield part.filter(pa.array([bool(keep(t or "")) for t in part.column(text_col).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def replace_text(docs: DataFrame, change: Callable[[str | None], str | None], text_col: str = "text") -> DataFrame:
+    """``docs`` with ``change`` applied to every text; all other columns as they are."""
+
+    def run(batches):
+        for part in slices(batches):
+            place = part.schema.get_field_index(text_col)
+            column = pa.array([change(t) for t in part.column(place).to_pylist()], part.schema.field(place).type)
+            yield part.set_column(place, part.schema.field(place), column)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import map_texts
+from tracklake.llm.common import filter_rows, map_texts
 
 MAX_POSITIVES = MAX_UNLABELLED = 20_000  # rows a model is fitted on at most (samples by hash of the id)
 FOLDS, HELD_OUT = 4, 2
@@ -118,15 +118,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positi
     return fit(x[(rows["trusted"] == 1).to_numpy()], x[rows["free"].fillna(False).to_numpy(bool)], prior), prior
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id, extra, score) per row: the probability of good text."""
+def scorer(model: Model) -> Callable[[str], float]:
+    """text -> the probability of good text."""
     measure = measures()
 
-    def score(text: str) -> tuple:
+    def score(text: str) -> float:
         margin = float(model.margin(np.array([measure(text)]))[0])
-        return (1 / (1 + math.exp(-max(-35.0, min(35.0, margin)))),)
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, margin))))
 
-    return map_texts(docs, score, "score double", id_col, text_col, extra)
+    return score
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **options) -> DataFrame:
+    """The rows of ``docs`` (all columns) that score ``keep`` or more."""
+    score = scorer(train(docs, labels, **options)[0])
+    return filter_rows(docs, lambda text: score(text) >= keep)
 
 
 def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **options) -> DataFrame:
@@ -137,6 +143,7 @@ def quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, **options) -
     repeated rows are scored each, a null id is passed on (held_out false), an empty table gives an empty result. Without
     any label every score is the default prior. Other columns are not read."""
     model, _ = train(docs, labels, **options)
-    return score_texts(docs, model).select(
+    score = scorer(model)
+    return map_texts(docs, lambda text: (score(text),), "score double").select(
         "doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= keep).cast("int").alias("predicted"))

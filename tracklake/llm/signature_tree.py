@@ -300,6 +300,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             .select("doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id")))
 
 
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) without the documents that reach a smaller id; rows without an id stay."""
+    found = jaccard_components(docs, width, percent)
+    return docs.join(settle(found.filter("doc_id <> component_id").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE word AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
