@@ -107,7 +107,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_window
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) whose document leaks no benchmark item."""
     found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["_leaked"], "left_anti")
 
 
 _IN = "(" + ", ".join(f"'{u}'" for u in UNITS) + ")"
