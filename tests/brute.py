@@ -56,7 +56,7 @@ def davies_bouldin(x, labels):
     centers = np.array([x[labels == c].mean(0) for c in names])
     scatter = np.array([np.sqrt(((x[labels == c] - m) ** 2).sum(1)).mean() for c, m in zip(names, centers)])
     gap = distances(centers)
-    np.fill_diagonal(gap, np.inf)
+    gap[gap == 0] = np.inf  # itself, and clusters with the same center
     return float(((scatter[:, None] + scatter[None, :]) / gap).max(1).mean())
 
 

@@ -155,6 +155,12 @@ def test_pairs_of_lines(spark):
     assert sorted((r["name"], r["value"]) for r in pairs.collect()) == [("BPM", "120"), ("Energy", "55"), ("key", "C♯"), ("mode", "Minor")]
 
 
+def test_the_last_value_of_a_name_holds(spark):
+    html = "\n".join(["<dt>Energy</dt>", "<dd>80%</dd>", "<dt>Energy</dt>", "<dd>10%</dd>", "<dt>Tempo</dt>", "<dd>9</dd>", "<dt>Tempo</dt>", "<dd>80</dd>"])
+    pairs = scrape.feature_pairs(spark.createDataFrame([(1, html)], "page_id long, html string"), "page_id")
+    assert tuple(scrape.feature_rows(pairs, "page_id", ["Energy", "tempo", "mode"]).first()) == (1, "10", "80", None)
+
+
 def test_matching(spark):
     rows = [("Up-Beat - Ann", 1, None, None, "u1"), ("Up-Beat - Ann", 2, "the up-BEAT mix", "", ""), ("Up-Beat - Ann", 3, "x", "by ANN", "u3"),
             ("Up-Beat - Ann", 4, "up-beat", "", "u4"), ("nodash", 1, "nodash", "nodash", "u5")]

@@ -58,6 +58,7 @@ PLAYLIST_MIN, PLAYLIST_MAX, PLAYLIST_DEFAULT = 5, 100, 20
 # ---- fixed values: clustering sweep ----
 SWEEP_MAX_K = 8
 KMEANS_RESTARTS = 20
+KMEANS_ITERATIONS = 300
 SEED = 42
 DBSCAN_EPS = [0.7, 0.9, 1.1, 1.3, 1.5, 1.8, 2.1]
 DBSCAN_MIN_SAMPLES = [4, 6, 8, 10]

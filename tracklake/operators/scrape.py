@@ -18,29 +18,28 @@ def tag_text(line: Column) -> Column:
     return F.replace(F.substring(line, start, stop - start), F.lit("%"), F.lit(""))
 
 
-def feature_pairs(pages: DataFrame, id_col: str, html: str = "html", partitions: int | None = None) -> DataFrame:
-    """(id, name, value): every name line paired with the line after it; Key gives key and mode.
+def feature_pairs(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
+    """(id, line, name, value): every name line, by its number, paired with the line after it; Key gives key and mode.
 
-    Lines are zipped with their successors inside the row; a page is never split over tasks or regrouped."""
-    if partitions:
-        pages = pages.repartition(partitions)
+    Lines are zipped with their successors inside the row; a page is never split over tasks, moved or regrouped."""
     lines = F.transform(F.split(F.col(html), "\n"), strip)
-    pairs = pages.select(id_col, F.explode(F.arrays_zip(
-        lines.alias("line"), F.slice(lines, 2, F.size(lines)).alias("following"))).alias("p"))
+    pairs = pages.select(id_col, F.posexplode(F.arrays_zip(
+        lines.alias("line"), F.slice(lines, 2, F.size(lines)).alias("following"))).alias("line", "p"))
     named = pairs.filter(F.contains("p.line", F.lit(STYLED_NAME)) | F.col("p.line").rlike(PLAIN_NAME))
-    read = named.select(id_col, tag_text(F.col("p.line")).alias("name"), tag_text(F.col("p.following")).alias("value"))
+    read = named.select(id_col, "line", tag_text(F.col("p.line")).alias("name"), tag_text(F.col("p.following")).alias("value"))
     words = F.split("value", " ")
     entries = F.when(F.lower("name") == "key", F.array(
         F.struct(F.lit("key").alias("name"), F.get(words, F.lit(0)).alias("value")),
         F.struct(F.lit("mode").alias("name"), F.get(words, F.lit(1)).alias("value")))).otherwise(
         F.array(F.struct(F.col("name").alias("name"), F.col("value").alias("value"))))
-    return read.select(id_col, F.explode(entries).alias("e")).select(id_col, "e.*")
+    return read.select(id_col, "line", F.explode(entries).alias("e")).select(id_col, "line", "e.*")
 
 
 def feature_rows(pairs: DataFrame, id_col: str, names: list[str]) -> DataFrame:
-    """One row per page with the named features; all-digit values become integers in typed tables downstream."""
+    """One row per page with the named features; of a name that a page repeats the last value holds. All-digit values become
+    integers in typed tables downstream."""
     return pairs.groupBy(id_col).agg(*[
-        F.max(F.when(F.lower("name") == n.lower(), F.col("value"))).alias(n) for n in names])
+        F.max_by("value", F.when(F.lower("name") == n.lower(), F.col("line"))).alias(n) for n in names])
 
 
 def split_query(query: Column) -> tuple[Column, Column]:

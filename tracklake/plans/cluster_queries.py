@@ -20,8 +20,6 @@ from tracklake.plans.search_queries import rounded
 from tracklake.session import scratch_path, settle
 from tracklake.sources.library import StarLibrary
 
-QUERY_RESTARTS = 3  # starts per k in the registered sweep; the library default is 20
-
 shared("complete", f"SELECT * FROM feature_view WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_FEATURES)}")
 
 
@@ -60,7 +58,7 @@ def _stack(runs: dict[str, DataFrame]) -> DataFrame:
 @query()
 def kmeans_sweep(lib):
     points = _points(lib)
-    return _stack(partitioning.kmeans_sweep(points, partitioning.sweep_range(points.count()), QUERY_RESTARTS))
+    return _stack(partitioning.kmeans_sweep(points, partitioning.sweep_range(points.count())))
 
 
 @query()
@@ -242,5 +240,5 @@ def clustering_run(lib):
     """The whole run on the reduced track features: K-means, Ward, Birch and mixtures for every k, all DBSCAN settings,
     metrics and ranking. Returns the manifest of valid runs."""
     path = scratch_path(lib.spark, "clustering")
-    clustering.run_clustering(lib.spark, lib, path, restarts=1)
+    clustering.run_clustering(lib.spark, lib, path)
     return lib.spark.read.parquet(f"{path}/algorithm_manifest")

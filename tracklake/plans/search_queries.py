@@ -376,7 +376,7 @@ _PAGE = "concat('<dl>', chr(10), ' <dt>Popularity</dt>', chr(10), '<dd>', length
           UNION ALL SELECT page_id, 'mode', CASE WHEN page_id % 2 = 0 THEN 'Minor' ELSE 'Major' END FROM pages""")
 def html_features(lib):
     wrapped = lib.pages.select("page_id", F.expr(_PAGE.replace("chr(10)", "char(10)")).alias("html"))
-    return scrape.feature_pairs(wrapped, "page_id", partitions=lib.spark.sparkContext.defaultParallelism)
+    return scrape.feature_pairs(wrapped, "page_id").drop("line")
 
 
 @query("""SELECT page_id, length(html) AS popularity, CASE WHEN page_id % 2 = 0 THEN 'C#' ELSE 'Eb' END AS key,
@@ -387,6 +387,14 @@ def html_feature_rows(lib):
     return normalise_features(rows).withColumn("popularity", F.col("popularity").try_cast("bigint"))
 
 
+@query("SELECT page_id, CAST(5 + page_id % 20 AS STRING) AS \"Energy\" FROM pages")
+def html_repeated_names(lib):
+    """A name that a page repeats, with values of one and two digits: the last one holds."""
+    html = F.concat(F.lit("<dt>Energy</dt>\n<dd>"), F.col("page_id") % 90 + 9, F.lit("%</dd>\n<dt>Energy</dt>\n<dd>"), F.col("page_id") % 20 + 5,
+                    F.lit("%</dd>\n"), F.col("html"))
+    return scrape.feature_rows(scrape.feature_pairs(lib.pages.select("page_id", html.alias("html")), "page_id"), "page_id", ["Energy"])
+
+
 _POOLED = """SELECT label, pos - 1 AS pos, avg(v) AS m FROM (
     SELECT label, unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM points) u GROUP BY label, pos"""
 
