@@ -8,7 +8,8 @@ SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, s
 
 def prose(n: int, seed: int = 0) -> str:
     r = random.Random(seed)
-    words = [r.choice("ba de ki lo mu na pe ri so tu".split()) + r.choice("ran len mis tor vek".split()) for _ in range(400)]
+    syllables = "ba de ki lo mu na pe ri so tu ran len mis tor vek".split()
+    words = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(2_000)]
     out = []
     for i in range(n):
         w = r.choice(words)

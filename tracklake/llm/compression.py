@@ -11,10 +11,10 @@ from tracklake.llm.common import map_texts
 
 # Limits (fixed values) of the ratio compressed / raw bytes, by raw length from which they hold: (length, low, high).
 # Short frames carry headers and no history, so their ratios are higher and their bands wider.
-WHOLE_BANDS = ((0, 0.0, 9.0), (200, 0.50, 1.0), (500, 0.45, 0.92), (1_000, 0.40, 0.86), (3_000, 0.33, 0.82),
-               (10_000, 0.28, 0.80), (30_000, 0.25, 0.78))
+WHOLE_BANDS = ((0, 0.0, 9.0), (200, 0.50, 1.0), (500, 0.45, 0.85), (1_000, 0.40, 0.75), (3_000, 0.33, 0.70),
+               (10_000, 0.28, 0.66), (30_000, 0.25, 0.62))
 CHUNK = 2_048              # bytes of a chunk
-CHUNK_BAND = (0.35, 0.90)  # the band of a full chunk
+CHUNK_BAND = (0.35, 0.74)  # the band of a full chunk
 BAD_CHUNKS = 0.5           # a document fails when more than this share of its chunks leaves the band
 LEVEL = 3
 MIN_WORDS = 50

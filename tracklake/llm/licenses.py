@@ -39,7 +39,8 @@ def pattern(phrase: str) -> str:
 
 # (label, keyword, phrases that name it) of licenses without families. Fixed values.
 NAMED = (
-    ("mit", "mit", ("mit license|licence", "mit x11 license|licence", "expat license|licence")),
+    ("mit", "mit", ("mit license|licence", "mit x11 license|licence")),
+    ("mit", "expat", ("expat license|licence",)),
     ("apache-1.0", "apache", ("apache software? license|licence version? 1 0",)),
     ("apache-1.1", "apache", ("apache software? license|licence version? 1 1",)),
     ("apache-2", "apache", ("apache software? license|licence version? 2 0?", "apache 2 0? license|licence", "apache license|licence v2 0?")),
@@ -68,7 +69,8 @@ NAMED = (
     ("pddl", "public domain dedication", ("public domain dedication and license|licence",)),
     ("cc0-1.0", "cc0", ("cc0 1? 0? universal?",)),
     ("cc0-1.0", "creative commons", ("creative commons zero v? 1? 0?",)),
-    ("psf", "python", ("python software foundation license|licence", "psf license|licence")),
+    ("psf", "python", ("python software foundation license|licence",)),
+    ("psf", "psf", ("psf license|licence",)),
     ("php", "php", ("php license|licence version? 3? 0|01?",)),
     ("postgresql", "postgresql", ("postgresql license|licence",)),
     ("openssl", "openssl", ("openssl license|licence",)),
