@@ -282,9 +282,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     holds two bounded trees."""
     docs = unique_documents(docs, id_col, text_col)
     table = settle(set_table(docs, width))
-    firsts = table.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    named = settle(table.join(firsts, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first"))
-                                                                    .otherwise(F.col("doc_id")).alias("first")))
+    copied = settle(table.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
+                    .filter("times > 1").select("h1", "h2", "first"))
+    named = settle(table.join(copied, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")))
+
     meet = route(docs, width, percent).withColumn("a", F.first("doc_id").over(
         W.partitionBy("key").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)))
     edges = meet.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
