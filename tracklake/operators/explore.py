@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -119,11 +120,11 @@ def _outline(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return half(points) + half(points[::-1])
 
 
-def cluster_hulls(rows: DataFrame, x: str, y: str, levels: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+def cluster_hulls(rows: DataFrame, x: str, y: str) -> DataFrame:
     """(cluster, corner, x, y): convex outline of each cluster in the plane of two features.
 
-    The hull of a union is the hull of the hulls. Every input batch is reduced to its hulls before anything is
-    moved, then each cluster is merged in narrowing rounds of salted groups, so no task sees a whole cluster."""
+    The hull of a union is the hull of the hulls. Every partition is reduced to its hulls before anything is moved; the hulls
+    of a cluster, one per partition at most, are merged in salted groups first, about the square root of their number."""
     def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for name, part in pdf.groupby("cluster"):
@@ -133,13 +134,16 @@ def cluster_hulls(rows: DataFrame, x: str, y: str, levels: tuple[int, ...] = (64
         return pd.concat(out) if out else pdf.assign(corner=[])[["cluster", "corner", "x", "y"]]
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for part in parts:
-            yield reduce(part)
+            held = reduce(part if held is None else pd.concat([held[["cluster", "x", "y"]], part]))
+        if held is not None:
+            yield held
 
     schema = "cluster string, corner int, x double, y double"
     hulls = (rows.select(cluster_text().alias("cluster"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
              .dropna().mapInPandas(batches, schema))
-    for groups in levels:
+    for groups in (math.ceil(math.sqrt(rows.rdd.getNumPartitions())), 1):
         salt = F.pmod(F.xxhash64("x", "y"), F.lit(groups)).alias("salt")
         hulls = hulls.groupBy("cluster", salt).applyInPandas(lambda pdf: reduce(pdf[["cluster", "x", "y"]]), schema)
     return hulls

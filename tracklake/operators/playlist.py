@@ -41,6 +41,21 @@ def mood_candidates(tracks: DataFrame, mood: str, taken: DataFrame | None = None
     return sample_by_seed(first_candidates(tracks, mood, taken), CANDIDATE_SAMPLE, seed)
 
 
+def candidates_by_mood(tracks: DataFrame, moods: list[str], seed: int = 0) -> DataFrame:
+    """(mood, track_id, score): ``mood_candidates`` of several moods from one pass over the tracks.
+
+    Scores are exploded and ranked per mood; the rank filter leaves nine rows per mood and task before the shuffle."""
+    scored = tracks.select("track_id", "track_name", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("mood"), mood_score(m).alias("score")) for m in moods])).alias("s")).select("track_id", "track_name", "s.*")
+    mood = W.partitionBy("mood")
+    ranked = scored.withColumn("_rank", F.row_number().over(mood.orderBy(F.desc("score"), F.asc_nulls_first("track_name"), "track_id")))
+    pool = ranked.filter(F.col("_rank") <= CANDIDATE_POOL)
+    strong = F.col("score") >= STRONG_MATCH
+    kept = pool.withColumn("_keep", strong | (F.count_if(strong).over(mood) < STRONG_MINIMUM)).filter("_keep")
+    drawn = kept.withColumn("_draw", F.row_number().over(mood.orderBy(F.md5(F.concat("track_id", F.lit(f":{seed}"))), "track_id")))
+    return drawn.filter(F.col("_draw") <= CANDIDATE_SAMPLE).select("mood", "track_id", "score")
+
+
 def followup_pool(index: DataFrame, mood: str, previous: str, taken: DataFrame | None = None) -> DataFrame:
     """The nine best tracks by likeness to the previous pick and mood together; empty if that pick is unknown."""
     pick = index.filter(F.col("track_id") == previous).select("vector").head()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracklake.constants import MODEL_FEATURES, REFRESH_FEATURES
+from tracklake.operators.skew import global_index
 
 
 def _credits(bridge: DataFrame, artists: DataFrame, owner: str, prefix: str) -> DataFrame:
@@ -111,9 +112,11 @@ def refresh_list(tracks: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def refresh_slice(ids: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """A stable slice of the refresh list."""
-    out = ids.orderBy("id").offset(offset)
-    return out if limit is None else out.limit(limit)
+    """A stable slice of the refresh list. Without a limit the rows are numbered where they lie, as an offset alone would
+    take all of them through one task."""
+    if limit is not None:
+        return ids.orderBy("id").offset(offset).limit(limit)
+    return ids.orderBy("id") if not offset else global_index(ids, ["id"]).filter(F.col("pos") >= offset).drop("pos").orderBy("id")
 
 
 def playlists_seen(playlists: DataFrame, playlist_tracks: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 from tracklake.constants import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
+from tracklake.functions.vectors import squared_distance
 from tracklake.operators import linkage, metrics, partitioning, prep, selection
 from tracklake.operators import dbscan as density
 from tracklake.operators.neighbours import collapse, tile_neighbours
@@ -33,11 +35,13 @@ def _dataset(lib: StarLibrary) -> DataFrame:
 
 # ---------------------------------------------------------------- preparation
 
-@query("SELECT track_id, feature, round(value, 6) + 0.0 AS value FROM ("
-       + " UNION ALL ".join(
-           f"SELECT track_id, '{c}' AS feature, CASE WHEN sd = 0 THEN 0.0 ELSE ({c} - mu) / sd END AS value FROM complete, "
-           f"(SELECT avg({c}) AS mu, stddev_pop({c}) AS sd FROM complete) m" for c in NUMERIC_FEATURES)
-       + "".join(f" UNION ALL SELECT track_id, concat('{c}=', {c}), 1.0 FROM complete" for c in CATEGORICAL_FEATURES) + ") e")
+shared("encoded", " UNION ALL ".join(
+    f"SELECT track_id, '{c}' AS feature, CASE WHEN sd = 0 THEN 0.0 ELSE ({c} - mu) / sd END AS value FROM complete, "
+    f"(SELECT avg({c}) AS mu, stddev_pop({c}) AS sd FROM complete) m" for c in NUMERIC_FEATURES)
+    + "".join(f" UNION ALL SELECT track_id, concat('{c}=', {c}), 1.0 FROM complete" for c in CATEGORICAL_FEATURES))
+
+
+@query("SELECT track_id, feature, round(value, 6) + 0.0 AS value FROM encoded")
 def preprocess_encoded(lib):
     data = _dataset(lib)
     return rounded(prep.encoded_long(data, prep.fit_preprocessor(data)), ["value"])
@@ -49,6 +53,21 @@ def preprocess_pca(lib):
     return reduced.select("track_id", "vector", *[F.lit(v).alias(k) for k, v in summary.items()])
 
 
+@query("""WITH RECURSIVE few AS (SELECT track_id FROM complete ORDER BY track_id LIMIT 12),
+            e AS (SELECT * FROM encoded WHERE track_id IN (SELECT track_id FROM few)),
+            norm AS (SELECT track_id, sum(value * value) AS sq FROM e GROUP BY track_id)
+          SELECT a.track_id AS one, b.track_id AS two, round(sqrt(greatest(a.sq + b.sq - 2 * coalesce(sum(x.value * y.value), 0), 0)), 4) + 0.0 AS distance
+          FROM norm a JOIN norm b ON a.track_id < b.track_id LEFT JOIN e x ON x.track_id = a.track_id
+          LEFT JOIN e y ON y.track_id = b.track_id AND y.feature = x.feature GROUP BY a.track_id, b.track_id, a.sq, b.sq""")
+def pca_keeps_distances(lib):
+    """With all components kept the reduced rows lie exactly as far apart as the encoded ones."""
+    reduced, _ = prep.reduce_features(_dataset(lib), keep=1 - 1e-12)
+    few = reduced.orderBy("track_id").limit(12).select("track_id", "vector")
+    pairs = few.toDF("one", "a").join(few.toDF("two", "b"), F.col("one") < F.col("two"))
+    gap = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    return rounded(pairs.select("one", "two", gap.alias("distance")), ["distance"], 4)
+
+
 # ---------------------------------------------------------------- families
 
 def _stack(runs: dict[str, DataFrame]) -> DataFrame:
@@ -61,6 +80,19 @@ def kmeans_sweep(lib):
     return _stack(partitioning.kmeans_sweep(points, partitioning.sweep_range(points.count())))
 
 
+@query("SELECT CAST(k AS INT) AS k, CAST(k AS BIGINT) AS filled, (SELECT count(*) FROM embeddings) AS placed, TRUE AS own_nearest FROM range(2, 9) t(k)")
+def kmeans_facts(lib):
+    """What holds for any K-means result: k groups with rows, every row placed, and each nearest to the mean of its own group."""
+    points = _points(lib)
+    labels = _stack(partitioning.kmeans_sweep(points, range(2, 9)))
+    members = settle(labels.join(points.select("id", "vector"), "id"))
+    centers = metrics.centroids(members).select("run", F.col("cluster").alias("other"), "center")
+    reach = (members.join(centers, "run").withColumn("d", squared_distance(F.col("vector"), F.col("center")))
+             .groupBy("run", "id", "cluster").agg(F.min("d").alias("least"), F.min(F.when(F.col("cluster") == F.col("other"), F.col("d"))).alias("own")))
+    return reach.groupBy(F.regexp_extract("run", "[0-9]+$", 0).cast("int").alias("k")).agg(
+        F.count_distinct("cluster").alias("filled"), F.count("*").alias("placed"), F.every(F.col("own") <= F.col("least") + 1e-3).alias("own_nearest"))
+
+
 @query()
 def gmm_sweep(lib):
     """Mixtures over the reduced track features."""

@@ -241,12 +241,7 @@ def _sampled_sql(pool: str, kept: str = "TRUE") -> str:
         f"SELECT track_id, {_mood_sql(m)} AS score FROM feature_view ORDER BY score DESC, track_name NULLS FIRST, track_id LIMIT 9",
         "strong < 3 OR score >= 0.72") + ") x" for m in MOODS) + ") r")
 def mood_candidates(lib):
-    view = feature_view(lib)
-    parts = [playlist.mood_candidates(view, m, seed=7).select(F.lit(m).alias("mood"), "track_id", "score") for m in MOODS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return rounded(out, ["score"])
+    return rounded(playlist.candidates_by_mood(feature_view(lib), list(MOODS), seed=7), ["score"])
 
 
 @query(_sampled_sql(f"""SELECT f.track_id, 0.72 * ({_DOT}) + 0.28 * ({_mood_sql('party')}) AS score

@@ -15,7 +15,10 @@ from tracklake.sources.library import path_exists
 
 def snapshot(view: DataFrame) -> dict:
     """Row count and an order-free digest of the source, to tell whether an index still fits it."""
-    row = view.agg(F.count("*").alias("source_rows"), F.bit_xor(F.xxhash64(*view.columns)).alias("source_digest")).first()
+    mark = F.xxhash64(*view.columns)
+    # Equal rows cancel in the exclusive or, so a sum stands beside it.
+    row = view.agg(F.count("*").alias("source_rows"), F.bit_xor(mark).alias("source_digest"),
+                   F.coalesce(F.sum(F.pmod(mark, F.lit(1 << 31))), F.lit(0)).alias("source_sum")).first()
     return row.asDict()
 
 
@@ -24,7 +27,7 @@ def save_index(spark: SparkSession, path: str, index: DataFrame, stats: VectorSt
     index.write.mode("overwrite").parquet(f"{path}/vectors")
     rows = spark.read.parquet(f"{path}/vectors").count()
     record = [{**asdict(stats), **source, "indexed_rows": rows}]
-    schema = f"{STATS_SCHEMA}, source_rows long, source_digest long, indexed_rows long"
+    schema = f"{STATS_SCHEMA}, source_rows long, source_digest long, source_sum long, indexed_rows long"
     spark.createDataFrame(record, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return rows
 
@@ -45,7 +48,7 @@ def is_current(spark: SparkSession, path: str, view: DataFrame) -> bool:
     vectors, stats = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/stats").first()
     if "album_image_url" not in vectors.columns or vectors.count() != stats["indexed_rows"]:
         return False
-    return {k: stats[k] for k in ("source_rows", "source_digest")} == snapshot(view)
+    return {k: stats[k] for k in ("source_rows", "source_digest", "source_sum")} == snapshot(view)
 
 
 def ensure_index(spark: SparkSession, path: str, view: Callable[[], DataFrame]) -> tuple[DataFrame, VectorStats]:
