@@ -27,6 +27,7 @@ def parse_mode(col: Column) -> Column:
     return F.when(word == "major", 1.0).when(word == "minor", 0.0)
 
 
+# Fixed value: the format of a camelot code.
 CAMELOT_CODE = r"^\s*(\d{1,2})\s*([ABab])\s*$"
 
 

@@ -66,7 +66,7 @@ def _components(d: VectorStats) -> list[Column]:
     if d.missing == "zero":
         # Browser variant: no blanks inside the code, wheel position clamped instead of checked.
         code = music.strip(F.col("camelot"))
-        shape = r"^(\d{1,2})([ABab])$"
+        shape = r"^(\d{1,2})([ABab])$"  # fixed value: the format the browser variant takes
         n = F.regexp_extract(code, shape, 1).try_cast("int")
         number = F.when(n.isNull(), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(11), n - 1)))
         letter = F.when(F.upper(F.regexp_extract(code, shape, 2)) == "B", 1.0).otherwise(0.0)
