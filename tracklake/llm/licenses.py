@@ -237,3 +237,36 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(F.array_sort(F.array_union(base, F.col("_kept.labels"))), ",").alias("labels"),
         F.when(F.size(places) > 0, F.greatest(strength, F.lit(STRENGTH[NAME]))).otherwise(strength).alias("score"),
         F.col("_kept.n").alias("n_detections"))
+
+
+def _oracle_sql() -> str:
+    """The same result from rows: words, places of the base phrases, and the spans of every rule."""
+    listed = ",\n  ".join("({}, {}, '{}', {}, '{}', '{}')".format(i, r.priority, r.label, STRENGTH[r.priority], r.keyword, r.regex)
+                          for i, r in enumerate(rules()))
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, i - 1 AS i, '{label}' AS label FROM near WHERE "
+        + " AND ".join(f"x{k} = '{word}'" for k, word in enumerate(phrase.split())) for phrase, label in BASE_PHRASES)
+    ahead = ", ".join(f"lead(x, {k}) OVER (PARTITION BY doc_id ORDER BY i) AS x{k}" for k in range(1, 5))
+    return f"""
+WITH rule(id, priority, label, strength, keyword, regex) AS (VALUES
+  {listed}),
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '{WORD}') AS w FROM documents),
+near AS (SELECT doc_id, i, x AS x0, {ahead} FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM doc)),
+base AS ({phrases}),
+tried AS (SELECT doc_id, id, priority, label, regex, ' ' || array_to_string(w, '  ') || ' ' AS t FROM doc JOIN rule ON contains(array_to_string(w, ' '), keyword)),
+hit AS (SELECT *, regexp_extract_all(t, regex) AS found, string_split_regex(t, regex) AS apart FROM tried),
+part AS (SELECT doc_id, id, priority, label, unnest(found) AS f, unnest(apart[:len(found)]) AS b, generate_subscripts(found, 1) AS i FROM hit WHERE len(found) > 0),
+span AS (SELECT doc_id, priority, label, len(f) AS n, sum(len(b) + len(f)) OVER (PARTITION BY doc_id, id ORDER BY i) AS stop FROM part),
+seen AS (SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY stop - n, stop DESC, priority, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM span),
+kept AS (SELECT * FROM seen WHERE reach IS NULL OR stop > reach),
+labelled AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM kept UNION SELECT doc_id, label FROM base) GROUP BY doc_id),
+best AS (SELECT doc_id, count(*) AS n, max(CASE priority {' '.join(f'WHEN {p} THEN {s}' for p, s in STRENGTH.items())} END) AS strength FROM kept GROUP BY doc_id),
+based AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(a.n, 0) AS n_base, CAST(a.lo AS BIGINT) AS first_word, CAST(a.hi AS BIGINT) AS last_word,
+  coalesce(a.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+  CAST(greatest(coalesce(b.strength, 0), CASE WHEN a.n > 0 THEN {STRENGTH[NAME]} ELSE 0 END) AS DOUBLE) AS score, coalesce(b.n, 0) AS n_detections
+FROM doc d LEFT JOIN based a ON a.doc_id = d.doc_id LEFT JOIN labelled l ON l.doc_id = d.doc_id LEFT JOIN best b ON b.doc_id = d.doc_id
+"""
+
+
+ORACLE_SQL = _oracle_sql()

@@ -21,7 +21,7 @@ def op9_secrets(spark, folder):
     return secret_scan.secrets(table(spark, folder, "documents")).drop("base", "tested")
 
 
-@query()
+@query(licenses.ORACLE_SQL)
 def op3_license_rules(spark, folder):
     return licenses.license_scan(table(spark, folder, "documents"))
 
