@@ -29,8 +29,9 @@ ROUNDS = 3
 FAR = 1 << 40
 _BASE, _RUN, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_FORGET = 1_000_000
-_known: dict[bytes, tuple[int, int]] = {}
+_FORGET = 1_000_000  # words remembered at most
+_known: dict[bytes, int] = {}  # word -> its row in the hash table
+_hashes = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -38,12 +39,20 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def two_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every word; a task looks up the words that it has met before."""
     if len(_known) > _FORGET:
         _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh3_64_intdigest(w), xxhash.xxh3_64_intdigest(w, 7)
-    pairs = np.array([_known[w] for w in words], np.uint64).reshape(-1, 2)
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
+    new = list(set(words).difference(_known))
+    if new:
+        first = len(_known)
+        _known.update(zip(new, range(first, first + len(new))))
+        digest = xxhash.xxh3_64_intdigest
+        for k, seed in enumerate((0, 7)):
+            if len(_hashes[k]) < len(_known):  # grows by doubling
+                _hashes[k] = np.concatenate([_hashes[k][:first], np.zeros(2 * len(_known) - first, np.uint64)])
+            _hashes[k][first:len(_known)] = np.fromiter((digest(w, seed) for w in new), np.uint64, len(new))
+    rows = np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
+    return _hashes[0][rows], _hashes[1][rows]
 
 
 class Stretches:
@@ -120,20 +129,21 @@ def spans_of(words: list[list[bytes]], width: int = WINDOW, count: int = ROUNDS)
     anchor, reach, level = np.full(len(at), -1), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for r, (low, high, names) in reversed(list(enumerate(rounds(one, first, count, width)))):
         order = np.lexsort((-high, low))  # of symbols decided from the same word on, the one decided soonest is written last
-        size = np.full(len(flat) + width, width + 1)
+        size = np.full(len(flat) + width, width + 1, np.int32)
         rank = np.zeros(len(flat) + width, np.uint64)
         size[low[order]] = (high - low)[order]
         rank[low[order]] = mixed(names[order]) | np.uint64(1)
-        free = np.flatnonzero(anchor < 0)
-        best = np.zeros(len(free), np.uint64)
-        for d in range(width):
-            place = at[free] + d
-            value = np.where(size[place] <= width - d, rank[place], np.uint64(0))
+        best, place = np.zeros(len(flat), np.uint64), np.zeros(len(flat), np.int64)
+        for d in range(width - int(size.min()) + 1):
+            # What lies d words into the window and fits it; slices of all windows at once, the few invalid ones as well.
+            value = np.where(size[d:d + len(flat)] <= width - d, rank[d:d + len(flat)], np.uint64(0))
             better = value > best
-            best[better] = value[better]
-            anchor[free[better]] = place[better]
-            reach[free[better]] = place[better] + size[place[better]]
-        level[free[best > 0]] = r + 1
+            np.copyto(best, value, where=better)
+            np.copyto(place, d, where=better)
+        won = np.flatnonzero((anchor < 0) & (best[at] > 0))
+        anchor[won] = at[won] + place[at[won]]
+        reach[won] = anchor[won] + size[anchor[won]]
+        level[won] = r + 1
     alone = anchor < 0  # no symbol is decided inside: the window is its own anchor
     anchor[alone], reach[alone] = at[alone], at[alone] + width
     if not len(at):
@@ -228,8 +238,9 @@ def dedup_substrings(docs: DataFrame, width: int = WINDOW, id_col: str = "doc_id
     more = ", kept_text string" if texts else ""
 
     def whole(text: str) -> tuple:
-        kept = b" ".join(split_words(text))
-        return (len(split_words(text)), 0, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] if texts else []))
+        words = split_words(text)
+        kept = b" ".join(words)
+        return (len(words), 0, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] if texts else []))
 
     def cut(batches):
         for part in slices(batches, 64):
