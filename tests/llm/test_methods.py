@@ -55,8 +55,10 @@ def brute_components(rows, width, percent):
     return {(i, len(a), root(i)) for i, a in sets}
 
 
-@pytest.mark.parametrize("width,percent,bounds", [(3, 90, None), (5, 80, None), (3, 80, (3, 500))])
-def test_components_against_all_pairs(spark, monkeypatch, width, percent, bounds):
+@pytest.mark.parametrize("width,percent,bounds,hot", [(3, 90, None, None), (5, 80, None, 1), (5, 80, None, 4), (3, 80, (3, 500), 6)])
+def test_components_against_all_pairs(spark, monkeypatch, width, percent, bounds, hot):
+    if hot:  # so low that most, or some, shingles of a family count as hot
+        monkeypatch.setattr(signature_tree, "hot_shingles", lambda docs, w: hottest(docs, w, hot))
     if bounds:  # clusters split into several trees
         monkeypatch.setattr(signature_tree, "TREE_SETS", bounds[0])
         monkeypatch.setattr(signature_tree, "TREE_SHINGLES", bounds[1])
@@ -65,6 +67,19 @@ def test_components_against_all_pairs(spark, monkeypatch, width, percent, bounds
     assert {tuple(r) for r in got.collect()} == brute_components(rows, width, percent)
 
 
+def hottest(docs, width, times):
+    found, counts = np.unique(np.concatenate([shingle_set(r["text"], width) for r in docs.collect()]), return_counts=True)
+    return found[counts >= times]
+
+
+def test_hot_shingles_are_the_shared_ones(spark, monkeypatch):
+    monkeypatch.setattr(signature_tree, "HOT", 3)
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} {passage} d{i}") for i in range(30)], "doc_id long, text string").coalesce(1)
+    got = signature_tree.hot_shingles(docs, 5)
+    assert got.tolist() == hottest(docs, 5, 30).tolist() and len(got) == 8
+
+
 def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     rows = families(6)
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")

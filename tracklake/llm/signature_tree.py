@@ -26,6 +26,9 @@ LEAF, FANOUT = 16, 8
 TREE_SETS, TREE_SHINGLES = 1_024, 2_000_000  # bounds of a tree; larger clusters are joined as pairs of trees
 SIZE_STEP = 1.1
 SEEN = 200_000  # digests a task remembers to route the copies of a set once
+# Shingles of passages that very many documents share connect unrelated sets. Leaving them out of the routing changes no result,
+# whichever they are (see routing_keys); these only bound the list and the memory that finds it.
+HOT, HOT_CHUNK, HOT_IN_CHUNK, MAX_HOT = 24, 4_000_000, 3, 200_000
 
 
 class Bands:
@@ -60,22 +63,33 @@ class Bands:
         return count, 3 if mean >= 6 else 2 if mean >= 4 else 1
 
 
-def routing_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """One key per used bucket. Of count buckets at most ``differ`` are unequal between linked sets, so when more than that many
-    hold enough shingles one of these is equal; a set with fewer uses all of its buckets, the empty ones as well."""
+def _bucket_keys(tokens: np.ndarray, band: int, count: int, least: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all buckets, numbers of those with at least ``least`` shingles)."""
+    bucket = (tokens % np.uint64(count)).astype(np.int64)
+    sums = np.zeros(count, np.uint64)
+    np.add.at(sums, bucket, mixed(tokens ^ np.uint64(0x5851F42D4C957F2D)))
+    places = np.arange(count, dtype=np.uint64) + np.uint64((kind << 60) + (band << 32))
+    return mixed(sums + mixed(places)), np.flatnonzero(np.bincount(bucket, minlength=count) >= least)
+
+
+def routing_keys(tokens: np.ndarray, bands: Bands, hot: np.ndarray) -> np.ndarray:
+    """One key per used bucket of the shingles that are not hot.
+
+    Of ``count`` buckets at most ``differ`` are unequal between linked sets, with or without any fixed set of shingles taken
+    out. So when more than ``differ`` buckets of a set hold enough shingles, one of these is equal in every set linked with
+    it. A set with fewer adds keys of all its shingles, and one with too few even so those of all its buckets, the empty
+    ones as well; two linked sets that both lack the first kind meet by these."""
     keys = [np.zeros(0, np.uint64)]
-    mixed_tokens = mixed(tokens ^ np.uint64(0x5851F42D4C957F2D))
+    cold = tokens[hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] != tokens] if len(hot) else tokens
     for band, differ in bands.of(len(tokens)) if len(tokens) else []:
         if differ == 0:
             continue  # only equal sets link
         count, least = bands.buckets(band)
-        bucket = (tokens % np.uint64(count)).astype(np.int64)
-        sums, sizes = np.zeros(count, np.uint64), np.bincount(bucket, minlength=count)
-        np.add.at(sums, bucket, mixed_tokens)
-        used = np.flatnonzero(sizes >= least)
+        made, used = _bucket_keys(cold, band, count, least, 0)
+        keys.append(made[used])
         if len(used) <= differ:
-            used = np.arange(count)
-        keys.append(mixed(sums[used] + mixed(used.astype(np.uint64) + np.uint64(band << 32))))
+            made, used = _bucket_keys(tokens, band, count, least, 1)
+            keys.append(made[used] if len(used) > differ else made)
     return np.concatenate(keys)
 
 
@@ -94,25 +108,56 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(docs, describe, "n_shingles long, h1 long, h2 long")
 
 
+def _new_sets(batches, width: int):
+    """(slice, [(place, shingles)]) with the copies of sets that this task has met left out."""
+    seen: set = set()
+    for part in slices(batches):
+        found = []
+        for i, text in enumerate(part.column("text").to_pylist()):
+            tokens = shingle_set(text or "", width)
+            digest = _digest(tokens)
+            if digest not in seen:
+                found.append((i, tokens))
+                if len(seen) < SEEN:
+                    seen.add(digest)
+        yield part, found
+
+
+def hot_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingles that many documents hold: counted in chunks of all documents, summed in Spark, the most frequent first."""
+
+    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+        shingles, times = np.unique(np.concatenate(held), return_counts=True)
+        often = times >= HOT_IN_CHUNK
+        return pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(times[often])], names=["shingle", "times"])
+
+    def run(batches):
+        held, size = [], 0
+        for _, found in _new_sets(batches, width):
+            held += [tokens for _, tokens in found]
+            size += sum(len(tokens) for _, tokens in found)
+            if size >= HOT_CHUNK:
+                yield count(held)
+                held, size = [], 0
+        if held:
+            yield count(held)
+
+    sums = docs.select("text").mapInArrow(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    hot = sums.filter(F.col("times") >= HOT).orderBy(F.desc("times"), "shingle").limit(MAX_HOT).select("shingle").toArrow()
+    return np.sort(hot.column(0).to_numpy().view(np.uint64))
+
+
 def route(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(key, doc_id) rows; copies of a set that a task has met before are left to their first."""
     kind = docs.schema["doc_id"].dataType
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
 
     def run(batches):
-        bands, seen = Bands(percent), set()
-        for part in slices(batches):
-            keys, owners = [], []
-            for i, text in enumerate(part.column("text").to_pylist()):
-                tokens = shingle_set(text or "", width)
-                digest = _digest(tokens)
-                if digest in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(digest)
-                keys.append(routing_keys(tokens, bands))
-                owners.append(np.full(len(keys[-1]), i))
-            keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        bands = Bands(percent)
+        for part, found in _new_sets(batches, width):
+            keys = [routing_keys(tokens, bands, hot.value) for _, tokens in found]
+            owners = np.repeat(np.array([i for i, _ in found], np.int64), [len(k) for k in keys])
+            keys = np.concatenate([np.zeros(0, np.uint64), *keys])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), part.column("doc_id").take(pa.array(owners))], names=["key", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"key long, doc_id {kind.simpleString()}")
