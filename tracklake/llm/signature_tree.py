@@ -225,13 +225,19 @@ def dual_join(left: Tree, right: Tree | None, percent: int) -> list[tuple[int, i
         a, b = left.sizes[x[0]:x[1], None], right.sizes[None, y[0]:y[1]]
         most = common + np.minimum(left.extra[x[0]:x[1], None], right.extra[None, y[0]:y[1]])
         good = most * (100 + percent) >= percent * (a + b)
-        for i, j in zip(*np.nonzero(np.triu(good, 1) if same else good)):
+        good = np.triu(good, 1) if same else good
+        if not good.any():
+            return
+        # Exact overlaps of all pairs of the two leaves at once, over the shingles that they hold.
+        sets = left.sets[x[0]:x[1]] + right.sets[y[0]:y[1]]
+        shingles, column = np.unique(np.concatenate(sets), return_inverse=True)
+        held = np.zeros((len(sets), len(shingles)), np.float32)
+        held[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
+        overlap = np.rint(held[:x[1] - x[0]] @ held[x[1] - x[0]:].T).astype(np.int64)
+        for i, j in zip(*np.nonzero(good & (100 * overlap >= percent * (a + b - overlap)))):
             i, j = x[0] + int(i), y[0] + int(j)
-            if links.root(i) != links.root(shift + j):
-                overlap = len(np.intersect1d(left.sets[i], right.sets[j], assume_unique=True))
-                if 100 * overlap >= percent * (len(left.sets[i]) + len(right.sets[j]) - overlap):
-                    links.join(i, shift + j)
-                    out.append((i, shift + j))
+            if links.join(i, shift + j):
+                out.append((i, shift + j))
 
     def linked(x, y) -> bool:
         first = links.root(x[0])
