@@ -141,6 +141,24 @@ def test_bands_reject_repetition_and_noise():
     assert not judge(" ".join(base64.b85encode(r.randbytes(60)).decode() for _ in range(100)))[kept]
 
 
+def test_bands_follow_the_table(spark):
+    """Junk that the fixed limits let pass is rejected beside prose, however often it is repeated."""
+    words = [f"{a}{b}" for a in ("ba", "ten", "mor", "li", "vus", "ka", "sel", "dro") for b in ("n", "rit", "o", "lem", "ast", "ik", "ur", "eth")]
+    texts = []
+    for seed in range(120):
+        r = random.Random(seed)
+        texts.append(" ".join(r.choice(words) + "".join(r.choices("etaoinshr", k=3)) for _ in range(700)))
+    r = random.Random(1)
+    junk = " ".join(r.choice(words) + "".join(r.choices("etaoinshr", k=3)) + r.choice(("%%%", "$$$")) for _ in range(700))
+    texts += [junk] * 400
+    n = compression.RESULT.split(", ").index("kept boolean")
+    assert compression.rules()(junk)[n]
+    rows = compression.compression_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert not kept & set(range(120, 520)) and len(kept) >= 108
+    assert all(r["n_chunks"] == -(-len(texts[r["doc_id"]]) // compression.CHUNK) for r in rows)
+
+
 BASE_PII = (("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
