@@ -263,6 +263,31 @@ def accuracy(spark, name, label, fold, rest):
     return sum(a == b for a, b in held) / len(held)
 
 
+def test_near_copies_of_benchmark_items(spark):
+    """Edited, shifted, recased and short copies, which single alignments miss, and no chance agreement."""
+    apples = "the old farmer had 3 apples in the red basket near the door and 3 pears on the small table behind the long kitchen wall"
+    middle = "one by one the quiet people left the wide green valley and went over the hills to find another home by the sea"
+    names = "when Anna met Boris near Dresden they took the slow train to Prague and then walked with Clara along the dark river home"
+    items = [(1, apples), (2, middle), (3, " ".join(middle.split()[:20])), (4, " ".join(middle.split()[:16])), (5, names), (6, "which blue bird sings at noon"),
+             (7, "add 17 and 4 and 12 and 93 and 5 and 61")]
+    insert = lambda t, k: " ".join([*t.split()[:k], "really", *t.split()[k:]])
+    docs = [(1, apples.replace("3 apples", "4 apples").replace("3 pears", "7 pears")), (2, insert(middle, 12)), (3, insert(items[2][1], 10)), (4, insert(items[3][1], 8)),
+            (5, names.lower()), (6, names.upper()), (7, "so Which blue bird sings at noon then"), (8, "now add 17 and 4 and 12 and 93 and 5 and 61 please"),
+            (9, "another text about a farmer who had 3 apples and the people who left the valley long ago without any train at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for few in (100_000, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontamination.near_leaks(frame, bench, broadcast_windows=few).collect()}
+        assert {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 6), (8, 7)} <= got and 9 not in {d for d, _ in got}
+    assert [r["doc_id"] for r in decontamination.clean(frame, bench).collect()] == [9]
+
+
+def test_near_leaks_hold_all_leaks(spark):
+    docs, bench = (spark.read.parquet(f"{FOLDER}/{n}.parquet") for n in ("documents", "benchmark"))
+    plain = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
+    assert plain and plain <= {(r["doc_id"], r["item_id"]) for r in decontamination.near_leaks(docs, bench).collect()}
+
+
 def test_held_out_toxicity(spark):
     assert accuracy(spark, "op4_toxicity", "toxic", 5, 0) > 0.85
 

@@ -104,9 +104,95 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_window
                     "n_changed", (F.col("n_changed") == 0).alias("exact")))
 
 
+def _near_forms(df: DataFrame, text_col: str, keep: Column, width: int) -> DataFrame:
+    """The tokens of every text as templates (``_canon``), case-folded with typed numbers (``_fold``) and as they are (``_low``)."""
+    df = tokenised(df, text_col, keep)
+    df = df.withColumn("_low", F.transform("_raw", lambda t: F.lower(t)))
+    return df.withColumn("_fold", F.zip_with("_canon", "_low", lambda c, t: F.when(c == NAME, t).otherwise(c)))
+
+
+def _window(form: Column | str, at: Column, width: int) -> Column:
+    """The window that begins at ``at`` (from 1) in a form: ``t`` templates, ``f`` folded or, with too few literals, as it is."""
+    folded = F.slice("_fold", at, width)
+    literals = F.size(F.array_remove(F.array_remove(folded, NUMBER), UNIT))
+    exact = F.when(literals >= MIN_LITERALS, folded).otherwise(F.slice("_low", at, width))
+    if isinstance(form, str):
+        return F.slice("_canon", at, width) if form == "t" else exact
+    return F.when(form == "t", F.slice("_canon", at, width)).otherwise(exact)
+
+
+def _near_keys(width: int, short: list[int]) -> Column:
+    """(form, pos, key, n) of all windows; ``short`` are the lengths of benchmark items below a window, which are keyed whole."""
+
+    def keys(form: str, n: int) -> Column:
+        window = (lambda i: F.slice("_low", i, n)) if form == "w" else (lambda i: _window(form, i, n))
+        return F.when(F.size("_canon") >= n, F.transform(F.sequence(F.lit(1), F.size("_canon") - (n - 1)), lambda i: F.struct(
+            F.lit(form).alias("form"), i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.lit(form), window(i)).alias("key")))).otherwise(F.array())
+
+    return F.concat(keys("t", width), keys("f", width), *(keys("w", n) for n in short))
+
+
+NEAR = 8         # places by which inserted and deleted words may move the windows of one copy
+COVERED = 0.75   # or this share of the item's tokens lies in consistent windows
+
+
+def near_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_windows: int = MIN_WINDOWS, id_col: str = "doc_id",
+               text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """(doc_id, item_id) of all that ``leaks`` finds and of near copies beyond it.
+
+    Of the windows of an alignment only those are dropped that contradict the most frequent filling of a slot; windows count once over
+    all alignments up to ``NEAR`` places apart; a second key ignores case (and takes numbers as they are where a window has few
+    literals); an item below a window and of ``MIN_LITERALS`` tokens or more is searched as a whole. An item leaks when
+    ``min_windows`` or half of its windows agree, or those that agree hold ``COVERED`` of its tokens. Single alignments
+    are judged as well, so a wider view never loses what a narrow one shows."""
+    items = _near_forms(benchmark, text_col, F.col("item_id"), width).filter(F.size("_canon") >= MIN_LITERALS).distinct()
+    short = sorted(r[0] for r in items.filter(F.size("_canon") < width).select(F.size("_canon")).distinct().collect())
+    made = _near_forms(docs, text_col, F.col(id_col).alias("doc_id"), width)
+    picked = items.withColumn("_k", F.explode(_near_keys(width, short)))
+    values = F.when(F.col("_k.form") == "t", F.slice("_raw", F.col("_k.at"), F.col("_k.n"))).otherwise(F.slice("_low", F.col("_k.at"), F.col("_k.n")))
+    tokens = F.when(F.col("_k.form") == "w", F.slice("_low", F.col("_k.at"), F.col("_k.n"))).otherwise(_window(F.col("_k.form"), F.col("_k.at"), width))
+    windows = (picked.select("item_id", F.size("_canon").alias("n_tokens"), "_k.form", "_k.n", F.col("_k.at").alias("at"), "_k.key",
+                             tokens.alias("item_tokens"), values.alias("item_values"))
+               .filter((F.col("form") != "w") | (F.col("n") == F.col("n_tokens")))
+               .filter((F.col("form") != "t") | (_literals(F.col("item_tokens")) >= MIN_LITERALS)))
+    totals = windows.groupBy("item_id", "form").agg(F.count_distinct("at").alias("n_item_windows"), F.max("n_tokens").alias("n_item_tokens"))
+    places = made.withColumn("_keys", _near_keys(width, short))
+    found_tokens = F.when(F.col("form") == "w", F.slice("_low", F.col("pos"), F.col("n"))).otherwise(_window(F.col("form"), F.col("pos"), width))
+    windows = windows.drop("n_tokens")
+    if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
+        spread = places.select("doc_id", "_raw", "_canon", "_low", "_fold", F.explode_outer("_keys").alias("_p"))
+        hits = spread.select("doc_id", "_raw", "_canon", "_low", "_fold", F.col("_p.at").alias("pos"), F.col("_p.key").alias("key")).join(F.broadcast(windows), "key")
+    else:
+        found = (places.select("doc_id", F.explode_outer("_keys").alias("_p")).select("doc_id", F.col("_p.at").alias("pos"), F.col("_p.key").alias("key"))
+                 .join(windows, "key"))
+        hits = made.select(F.col("doc_id").alias("_doc"), "_raw", "_canon", "_low", "_fold").join(found, F.col("_doc").eqNullSafe(F.col("doc_id")))
+    given = F.when(F.col("form") == "t", F.slice("_raw", F.col("pos"), F.col("n"))).otherwise(F.slice("_low", F.col("pos"), F.col("n")))
+    hits = (hits.filter(found_tokens == F.col("item_tokens")).withColumn("_given", given)
+            .select("doc_id", "item_id", "form", "n", "at", (F.col("pos") - F.col("at")).alias("shift"), F.filter(
+                F.transform("item_tokens", lambda kind, k: F.struct(kind.alias("kind"), F.get("item_values", k).alias("asked"), F.get("_given", k).alias("given"))),
+                lambda s: s["kind"].isin(NUMBER, UNIT, NAME)).alias("slots")))
+    view = lambda kind, place: F.struct(F.lit(kind).alias("view"), place.cast("long").alias("place"))
+    shift = F.col("shift")
+    grouped = (hits.withColumn("_view", F.explode(F.array(view(0, shift), view(1, F.floor(shift / (2 * NEAR))), view(2, F.floor((shift + NEAR) / (2 * NEAR))))))
+               .groupBy("doc_id", "item_id", "form", "n", "_view").agg(F.collect_set(F.struct("at", "shift", "slots")).alias("_found")))
+    grouped = grouped.withColumn("_all", F.flatten(F.transform("_found", lambda w: w["slots"]))).withColumn("_fillings", F.array_distinct("_all"))
+    grouped = grouped.withColumn("_tally", F.transform("_fillings", lambda s: F.struct(
+        s.alias("slot"), F.struct(F.size(F.filter("_all", lambda x: x == s)).alias("n"), (s["asked"] == s["given"]).alias("same"), s["given"].alias("given")).alias("rank"))))
+    grouped = grouped.withColumn("_chosen", F.transform(F.filter("_tally", lambda s: ~F.exists("_tally", lambda o: (
+        (o["slot"]["kind"] == s["slot"]["kind"]) & (o["slot"]["asked"] == s["slot"]["asked"]) & (o["rank"] > s["rank"])))), lambda s: s["slot"]))
+    grouped = grouped.withColumn("_at", F.array_distinct(F.transform(
+        F.filter("_found", lambda w: F.forall(w["slots"], lambda s: F.array_contains("_chosen", s))), lambda w: w["at"])))
+    grouped = grouped.withColumn("n_windows", F.size("_at")).withColumn("n_covered", F.size(F.array_distinct(F.flatten(
+        F.transform("_at", lambda at: F.sequence(at, at + F.col("n") - 1))))))
+    return (grouped.join(F.broadcast(totals) if windows.limit(broadcast_windows + 1).count() <= broadcast_windows else totals, ["item_id", "form"])
+            .filter((F.col("n_windows") >= F.least(F.lit(min_windows), F.ceil(F.col("n_item_windows") / 2)))
+                    | (F.col("n_covered") >= COVERED * F.col("n_item_tokens")))
+            .select("doc_id", "item_id").distinct())
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose document leaks no benchmark item."""
-    found = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    """The rows of ``docs`` (all columns) whose document holds no benchmark item and no near copy of one."""
+    found = near_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
     return docs.join(found, docs["doc_id"] == found["_leaked"], "left_anti")
 
 
