@@ -187,6 +187,17 @@ def test_checksums_and_context():
     assert pii.mask("mail a@b.org or +1 212 555 0100") == "mail <email> or <phone>"
 
 
+def test_account_numbers_before_other_tokens():
+    plain, grouped = "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332"
+    for number in (plain, grouped, "GB82 WEST 1234 5698 7654 32", "AT611904300234573201", "BE68 5390 0754 7034"):
+        for after in ("", " BIC CAIXESBBXXX", " BIC", " 2024", " 12 34", " DE", " ABCD EFGH", ", thanks"):
+            text = f"Account {number}{after}"
+            assert [(s, e) for k, s, e, _ in pii.find(text) if k == "iban"] == [(8, 8 + len(number))], text
+    assert pii.mask(f"IBAN {grouped} BIC CAIXESBBXXX").startswith("IBAN <iban> BIC")
+    assert not pii.ibans("ES91 2100 0418 4502 0005 1333 BIC CAIX")
+    assert pii.ibans(f"XX12 3456 7890 {grouped}") == [(15, 15 + len(grouped))]
+
+
 def test_secrets_base_and_battery(texts):
     for text in texts.values():
         want = [("assign", *m.span()) for m in re.finditer(

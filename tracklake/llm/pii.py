@@ -53,6 +53,20 @@ def mod97(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Confirmed account numbers, leftmost first. Where the longest candidate fails the check, its shorter ends before
+    spaces are tried, the longer first, so that a bank code or a number that follows hides no account number."""
+    found, at = [], 0
+    while match := IBAN.search(text, at):
+        start, longest = match.span()
+        ends = [longest] + [e for e in range(longest - 1, start + 14, -1) if text[e] == " "]
+        end = next((e for e in ends if mod97(text[start:e])), None)
+        if end:
+            found.append((start, end))
+        at = end or start + 4
+    return found
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping matches, found from the @ signs so that long runs cost no second look."""
     found, free, at = [], 0, text.find("@")
@@ -83,7 +97,7 @@ def proposed(text: str) -> list[tuple[str, int, int]]:
             if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-    out += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+    out += [("iban", *span) for span in ibans(text)]
     if "-" in text:
         out += [("ssn", *m.span()) for m in SSN.finditer(text)]
     out += [("phone_local", *m.span()) for m in PHONE_LOCAL.finditer(text)]
