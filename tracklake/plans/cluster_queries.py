@@ -68,6 +68,23 @@ def pca_keeps_distances(lib):
     return rounded(pairs.select("one", "two", gap.alias("distance")), ["distance"], 4)
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(DISTINCT track_id) AS n FROM encoded),
+            mid AS (SELECT feature, sum(value) / max(n) AS mu FROM encoded, n GROUP BY feature),
+            first AS (SELECT feature, value FROM encoded WHERE track_id = (SELECT min(track_id) FROM encoded))
+          SELECT e.track_id, round(greatest(sum(e.value * e.value) - 2 * sum(e.value * mu) + (SELECT sum(mu * mu) FROM mid), 0), 4) + 0.0 AS from_mean,
+            round(greatest(sum(e.value * e.value) - 2 * coalesce(sum(e.value * f.value), 0) + (SELECT sum(value * value) FROM first), 0), 4) + 0.0 AS from_first
+          FROM encoded e JOIN mid ON mid.feature = e.feature LEFT JOIN first f ON f.feature = e.feature GROUP BY e.track_id""")
+def pca_keeps_spread(lib):
+    """Of every row the squared distances from the mean and from the first row, equal before and after a full reduction."""
+    reduced = settle(prep.reduce_features(_dataset(lib), keep=1 - 1e-12)[0].select("track_id", "vector"))
+    mid = (reduced.select(F.posexplode("vector").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("mu"))
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mu"))), lambda p: p["mu"]).alias("_mid")))
+    first = reduced.agg(F.min_by("vector", "track_id").alias("_first"))
+    wide = reduced.crossJoin(F.broadcast(mid)).crossJoin(F.broadcast(first))
+    return rounded(wide.select("track_id", squared_distance(F.col("vector"), F.col("_mid")).alias("from_mean"),
+                               squared_distance(F.col("vector"), F.col("_first")).alias("from_first")), ["from_mean", "from_first"], 4)
+
+
 # ---------------------------------------------------------------- families
 
 def _stack(runs: dict[str, DataFrame]) -> DataFrame:
