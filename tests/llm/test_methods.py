@@ -214,6 +214,14 @@ def test_secrets_base_and_battery(texts):
     assert secret_scan.battery("internationalization2024conference", "base36")[1] > 0.1
 
 
+def test_candidates_need_no_digit():
+    r = random.Random(5)
+    for n in (20, 24, 60):
+        token = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+        assert [m.span() for m in secret_scan.CANDIDATE.finditer(f"key {token} end")] == [(4, 4 + n)]
+        assert secret_scan.CANDIDATE.search("x" * 45 + "1")
+
+
 def test_false_discovery_threshold():
     assert secret_scan.threshold({}) > secret_scan.DEEPEST * secret_scan.GRID
     steps = {200: 50, 5: 1_000}
