@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, decontamination, licenses, packing, pii, quality, recompression, secret_scan, signature_tree, toxicity
+from tracklake.llm import compression, decontamination, importance, licenses, packing, pii, quality, recompression, secret_scan, signature_tree, toxicity
 from tracklake.llm.registry import query, table
 
 
@@ -54,3 +54,8 @@ def op8_signature_tree_join(spark, folder):
 @query(recompression.ORACLE_SQL)
 def op2_recompression_dedup(spark, folder):
     return recompression.dedup_substrings(table(spark, folder, "documents"))
+
+
+@query(importance.ORACLE_SQL)
+def op13_importance_resampling(spark, folder):
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
