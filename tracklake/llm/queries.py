@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, decontamination, importance, licenses, packing, pii, quality, recompression, secret_scan, signature_tree, toxicity
+from tracklake.llm import compression, decontamination, importance, licenses, packing, pii, quality, recompression, secret_scan, signature_tree, token_counts, toxicity
 from tracklake.llm.registry import query, table
 
 
@@ -59,3 +59,11 @@ def op2_recompression_dedup(spark, folder):
 @query(importance.ORACLE_SQL)
 def op13_importance_resampling(spark, folder):
     return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op12_token_transducer(spark, folder, vocabulary: str = "piece_bpe_32k.model"):
+    """The path of the vocabulary is a parameter of the operator; the public package is asked for it here alone."""
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(vocabulary))
