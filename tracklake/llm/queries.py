@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklake.llm import compression, decontamination, importance, licenses, packing, pii, quality, recompression, secret_scan, signature_tree, token_counts, toxicity
+from tracklake.llm import compression, conversations, decontamination, importance, licenses, packing, pii, quality, recompression, secret_scan, signature_tree, token_counts, toxicity
 from tracklake.llm.registry import query, table
 
 
@@ -67,3 +67,8 @@ def op12_token_transducer(spark, folder, vocabulary: str = "piece_bpe_32k.model"
     import public_tokenizers
 
     return token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path(vocabulary))
+
+
+@query(conversations.ORACLE_SQL)
+def op11_conversation_repair(spark, folder):
+    return conversations.repair(table(spark, folder, "conversations"))
