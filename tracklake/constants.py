@@ -65,6 +65,7 @@ DBSCAN_MIN_SAMPLES = [4, 6, 8, 10]
 MIN_COVERAGE = 0.6
 EXPLAINED_VARIANCE = 0.95
 BIRCH_THRESHOLD = 0.5
+BIRCH_BRANCHING = 50
 
 # ---- fixed values: genres, axis-space neighbours, page size ----
 GENRE_TOP, GENRE_MIN_SCORE = 5, 0.15

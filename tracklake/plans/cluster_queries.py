@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from tracklake.constants import CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
+from tracklake.constants import BIRCH_THRESHOLD, CATEGORICAL_FEATURES, MODEL_FEATURES, NUMERIC_FEATURES
 from tracklake.functions.vectors import squared_distance
-from tracklake.operators import linkage, metrics, partitioning, prep, selection
+from tracklake.operators import cf_tree, linkage, metrics, partitioning, prep, selection
 from tracklake.operators import dbscan as density
 from tracklake.operators.neighbours import collapse, tile_neighbours
 from tracklake.operators.tiles import tile_points
@@ -118,6 +118,70 @@ def gmm_sweep(lib):
     return _stack(partitioning.gmm_sweep(points, partitioning.sweep_range(points.count())))
 
 
+@query("SELECT CAST(k AS INT) AS k, (SELECT count(*) FROM complete) AS placed, TRUE AS shares_whole, TRUE AS weights_match, TRUE AS rising FROM range(2, 9) t(k)")
+def gmm_facts(lib):
+    """What holds for expectation maximisation: the shares of a row add up to one, their means are the weights of the next step's model,
+    and the likelihood never falls."""
+    reduced, _ = prep.reduce_features(_dataset(lib))
+    points = settle(reduced.select(F.col("track_id").alias("id"), "vector"))
+    ks = partitioning.sweep_range(points.count())
+    models, shift = partitioning.mixture_models(points, ks, iterations=6)
+    after, _ = partitioning.mixture_models(points, ks, iterations=7)
+    shares = partitioning.mixture_shares(points, models, shift)
+    means = shares.select("k", F.posexplode("shares").alias("c", "share")).groupBy("k", "c").agg(F.avg("share").alias("mean"))
+    weights = lib.spark.createDataFrame([(m.k, c, float(w)) for m in after for c, w in enumerate(m.weights)], "k int, c int, weight double")
+    rising = {m.k: all(b >= a - 1e-9 for a, b in zip(m.likelihoods, m.likelihoods[1:])) for m in after}
+    match = means.join(F.broadcast(weights), ["k", "c"]).groupBy("k").agg(F.every(F.abs(F.col("mean") - F.col("weight")) < 1e-9).alias("weights_match"))
+    whole = F.abs(F.aggregate("shares", F.lit(0.0), lambda s, x: s + x) - 1) < 1e-9
+    return (shares.groupBy("k").agg(F.count("*").alias("placed"), F.every(whole).alias("shares_whole")).join(match, "k")
+            .withColumn("rising", F.get(F.lit([rising.get(k, True) for k in range(9)]), F.col("k"))))
+
+
+@query("SELECT CAST(k AS INT) AS k, CAST(k AS BIGINT) AS filled, (SELECT count(*) FROM embeddings) AS placed, TRUE AS nested, TRUE AS cheapest FROM range(2, 9) t(k)")
+def ward_facts(lib):
+    """What makes a sequence of cuts Ward's: every cut joins two groups of the finer one, and these are the pair that raises the sum of squares least."""
+    points = _points(lib)
+    labels = settle(_stack(linkage.ward_sweep(points, range(2, 9))).withColumn("k", F.regexp_extract("run", "[0-9]+$", 0).cast("int")).select("k", "id", "cluster"))
+    members = settle(labels.join(points.select("id", "vector"), "id").withColumn("run", F.col("k").cast("string")))
+    groups = settle(metrics.centroids(members).withColumn("k", F.col("run").cast("int")).select("k", "cluster", "size", "center"))
+    other = groups.select("k", *[F.col(c).alias(f"o_{c}") for c in ("cluster", "size", "center")])
+    costs = (groups.join(other, "k").filter(F.col("cluster") < F.col("o_cluster"))
+             .withColumn("cost", F.col("size") * F.col("o_size") / (F.col("size") + F.col("o_size")) * squared_distance(F.col("center"), F.col("o_center"))))
+    best = costs.groupBy("k").agg(F.min("cost").alias("least"))
+    coarse = labels.select((F.col("k") + 1).alias("k"), "id", F.col("cluster").alias("parent"))
+    family = settle(labels.join(coarse, ["k", "id"]).groupBy("k", "cluster").agg(F.min("parent").alias("parent"), F.count_distinct("parent").alias("parents")))
+    pair = family.groupBy("k", "parent").agg(F.sort_array(F.collect_set("cluster")).alias("pair")).filter(F.size("pair") > 1)
+    chosen = (pair.join(costs, "k").filter((F.get("pair", F.lit(0)) == F.col("cluster")) & (F.get("pair", F.lit(1)) == F.col("o_cluster")))
+              .join(best, "k").groupBy("k").agg(F.every(F.col("cost") <= F.col("least") * (1 + 1e-9)).alias("cheapest")))
+    nested = family.groupBy("k").agg(F.every(F.col("parents") == 1).alias("nested")).join(chosen, "k")
+    counted = labels.groupBy("k").agg(F.count_distinct("cluster").alias("filled"), F.count("*").alias("placed"))
+    judged = nested.select((F.col("k") - 1).alias("k"), "nested", "cheapest")
+    return counted.join(judged, "k", "left").select("k", "filled", "placed", F.coalesce("nested", F.lit(True)).alias("nested"),
+                                                    (F.coalesce("cheapest", F.lit(False)) | (F.col("k") == 8)).alias("cheapest"))
+
+
+@query("""SELECT pos, n, round(total, 4) + 0.0 AS total, round(squares, 4) + 0.0 AS squares, TRUE AS within, TRUE AS agree FROM (
+            SELECT CAST(pos - 1 AS INT) AS pos, count(*) AS n, sum(v) AS total, sum(v * v) AS squares FROM (
+              SELECT unnest(vector) AS v, generate_subscripts(vector, 1) AS pos FROM points) u GROUP BY pos) x""")
+def birch_features(lib):
+    """The clustering features of Birch add up to the table: rows and sums per dimension from the features, squares from their rows. ``within``: no
+    feature's rows have a radius beyond the threshold; ``agree``: every feature's numbers are those of its rows."""
+    rows, features = cf_tree.condense(_points(lib).select("id", "vector"))
+    rows, features = settle(rows), settle(features)
+    held = settle(metrics.centroids(rows.select(F.lit("").alias("run"), F.col("feature").alias("cluster"), "vector")).select(F.col("cluster").alias("feature"), "size", "center"))
+    off = squared_distance(F.col("vector"), F.col("center"))
+    radii = rows.join(held, "feature").groupBy("feature").agg(F.avg(off).alias("radius2"), F.first("size").alias("size"), F.first("center").alias("center"))
+    judged = features.join(radii, "feature", "full").agg(
+        F.every(F.coalesce(F.col("radius2") <= BIRCH_THRESHOLD ** 2 + 1e-9, F.lit(False))).alias("within"),
+        F.every(F.coalesce((F.col("n") == F.col("size")) & (squared_distance(F.col("mean"), F.col("center")) < 1e-12)
+                           & (F.abs(F.col("spread") / F.col("n") - F.col("radius2")) < 1e-9), F.lit(False))).alias("agree")).first()
+    sums = (features.select("n", F.posexplode("mean").alias("pos", "m")).groupBy("pos")
+            .agg(F.sum("n").cast("bigint").alias("n"), F.sum(F.col("n") * F.col("m")).alias("total")))
+    squares = rows.select(F.posexplode("vector").alias("pos", "v")).groupBy("pos").agg(F.sum(F.col("v") * F.col("v")).alias("squares"))
+    return rounded(sums.join(squares, "pos").select("pos", "n", "total", "squares", F.lit(judged["within"]).alias("within"), F.lit(judged["agree"]).alias("agree")),
+                   ["total", "squares"], 4)
+
+
 @query()
 def ward_sweep(lib):
     points = _points(lib)
@@ -130,7 +194,22 @@ def birch_sweep(lib):
     return _stack(linkage.birch_sweep(points, partitioning.sweep_range(points.count())))
 
 
-@query()
+@query("""WITH RECURSIVE
+            settings AS (SELECT CAST(eps AS DOUBLE) AS eps, need, concat('dbscan_eps', eps, '_min', need) AS run
+                         FROM (VALUES ('0.7'), ('0.9'), ('1.1'), ('1.3'), ('1.5'), ('1.8'), ('2.1')) e(eps), (VALUES (4), (6), (8), (10)) m(need)),
+            far AS (SELECT a.id AS a, b.id AS b, list_distance(a.vector, b.vector) AS d FROM points a JOIN points b ON list_distance(a.vector, b.vector) <= 2.1),
+            core AS (SELECT s.run, s.eps, f.a AS id FROM settings s JOIN far f ON f.d <= s.eps GROUP BY s.run, s.eps, s.need, f.a HAVING count(*) >= s.need),
+            link AS (SELECT x.run, f.a, f.b FROM core x JOIN far f ON f.a = x.id AND f.d <= x.eps JOIN core y ON y.run = x.run AND y.id = f.b),
+            walk(run, id, root, moved) AS (
+              SELECT run, id, id, TRUE FROM core
+              UNION ALL
+              SELECT run, id, least(root, near), bool_or(near < root) OVER (PARTITION BY run) FROM (
+                SELECT w.run, w.id, w.root, min(n.root) AS near FROM walk w JOIN link l ON l.run = w.run AND l.a = w.id
+                JOIN walk n ON n.run = w.run AND n.id = l.b WHERE w.moved GROUP BY w.run, w.id, w.root) g),
+            part AS (SELECT run, id, dense_rank() OVER (PARTITION BY run ORDER BY root) - 1 AS cluster FROM (SELECT run, id, min(root) AS root FROM walk GROUP BY run, id) m),
+            edge AS (SELECT s.run, f.a AS id, min(p.cluster) AS cluster FROM settings s JOIN far f ON f.d <= s.eps JOIN part p ON p.run = s.run AND p.id = f.b GROUP BY s.run, f.a)
+          SELECT s.run, p.id, CAST(coalesce(c.cluster, e.cluster, -1) AS INT) AS cluster
+          FROM settings s CROSS JOIN points p LEFT JOIN part c ON c.run = s.run AND c.id = p.id LEFT JOIN edge e ON e.run = s.run AND e.id = p.id""")
 def dbscan_sweep(lib):
     return density.dbscan_sweep(_points(lib), ["id"])
 
