@@ -58,7 +58,7 @@ def brute_components(rows, width, percent):
 @pytest.mark.parametrize("width,percent,bounds,hot", [(3, 90, None, None), (5, 80, None, 1), (5, 80, None, 4), (3, 80, (3, 500), 6)])
 def test_components_against_all_pairs(spark, monkeypatch, width, percent, bounds, hot):
     if hot:  # so low that most, or some, shingles of a family count as hot
-        monkeypatch.setattr(signature_tree, "hot_shingles", lambda docs, w: hottest(docs, w, hot))
+        monkeypatch.setattr(signature_tree, "hot_shingles", lambda docs, w, counts=None: hottest(docs, w, hot))
     if bounds:  # clusters split into several trees
         monkeypatch.setattr(signature_tree, "TREE_SETS", bounds[0])
         monkeypatch.setattr(signature_tree, "TREE_SHINGLES", bounds[1])

@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tracklake.llm.common import components, map_texts, slices, unique_documents
 from tracklake.llm.shingles import mixed, shingle_set
@@ -98,16 +100,6 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): size and 128-bit digest of every document's set."""
-
-    def describe(text: str) -> tuple:
-        tokens = shingle_set(text, width)
-        return (len(tokens), *_digest(tokens))
-
-    return map_texts(docs, describe, "n_shingles long, h1 long, h2 long")
-
-
 def _new_sets(batches, width: int):
     """(slice, [(place, shingles)]) with the copies of sets that this task has met left out."""
     seen: set = set()
@@ -123,34 +115,56 @@ def _new_sets(batches, width: int):
         yield part, found
 
 
-def hot_shingles(docs: DataFrame, width: int) -> np.ndarray:
-    """Sorted shingles that many documents hold: counted in chunks of all documents, summed in Spark, the most frequent first."""
+def survey(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, h1, h2), size and 128-bit digest of every document's set, and (shingle, times), counts of chunks of all
+    documents: both from one pass, which writes them side by side."""
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("n_shingles long, h1 long, h2 long, shingle long, times long").fields])
+    arrow = to_arrow_schema(schema)
 
-    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+    def batch(n: int, columns: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
+
+    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
         shingles, times = np.unique(np.concatenate(held), return_counts=True)
         often = times >= HOT_IN_CHUNK
-        return pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(times[often])], names=["shingle", "times"])
+        return batch(int(often.sum()), {"shingle": shingles[often].view(np.int64), "times": times[often]})
 
     def run(batches):
+        seen: set = set()
         held, size = [], 0
-        for _, found in _new_sets(batches, width):
-            held += [tokens for _, tokens in found]
-            size += sum(len(tokens) for _, tokens in found)
+        for part in slices(batches):
+            sets = [shingle_set(text or "", width) for text in part.column("text").to_pylist()]
+            digests = [_digest(tokens) for tokens in sets]
+            yield batch(len(sets), {"doc_id": part.column("doc_id").to_pylist(), "n_shingles": [len(t) for t in sets],
+                                    "h1": [d[0] for d in digests], "h2": [d[1] for d in digests]})
+            for tokens, digest in zip(sets, digests):
+                if digest not in seen:
+                    held.append(tokens)
+                    size += len(tokens)
+                    if len(seen) < SEEN:
+                        seen.add(digest)
             if size >= HOT_CHUNK:
-                yield count(held)
+                yield counts(held)
                 held, size = [], 0
         if held:
-            yield count(held)
+            yield counts(held)
+
+    both = settle(docs.select("doc_id", "text").mapInArrow(run, schema))
+    return both.filter("n_shingles IS NOT NULL").drop("shingle", "times"), both.filter("times IS NOT NULL").select("shingle", "times")
+
 
-    sums = docs.select("text").mapInArrow(run, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+def hot_shingles(docs: DataFrame, width: int, counts: DataFrame | None = None) -> np.ndarray:
+    """Sorted shingles that many documents hold: the counts of chunks (those of a survey, if given) are summed in Spark, the most frequent come first."""
+    counts = survey(docs, width)[1] if counts is None else counts
+    sums = counts.groupBy("shingle").agg(F.sum("times").alias("times"))
     hot = sums.filter(F.col("times") >= HOT).orderBy(F.desc("times"), "shingle").limit(MAX_HOT).select("shingle").toArrow()
     return np.sort(hot.column(0).to_numpy().view(np.uint64))
 
 
-def route(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def route(docs: DataFrame, width: int, percent: int, hot_list: np.ndarray) -> DataFrame:
     """(key, doc_id) rows; copies of a set that a task has met before are left to their first."""
     kind = docs.schema["doc_id"].dataType
-    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs, width))
+    hot = docs.sparkSession.sparkContext.broadcast(hot_list)
 
     def run(batches):
         bands = Bands(percent)
@@ -332,12 +346,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     empty table gives an empty result; other columns are not read. Routing rows and candidate sets are shuffled once; a task
     holds two bounded trees."""
     docs = unique_documents(docs, id_col, text_col)
-    table = settle(set_table(docs, width))
+    table, counts = survey(docs, width)
     copied = settle(table.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
                     .filter("times > 1").select("h1", "h2", "first"))
     named = settle(table.join(copied, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first")))
 
-    meet = route(docs, width, percent).withColumn("a", F.first("doc_id").over(
+    meet = route(docs, width, percent, hot_shingles(docs, width, counts)).withColumn("a", F.first("doc_id").over(
         W.partitionBy("key").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)))
     edges = meet.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     first_of = named.select(F.col("doc_id"), F.col("first"))
