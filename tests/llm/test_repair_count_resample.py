@@ -205,3 +205,27 @@ def test_resampling_of_odd_tables(spark, longest, percent, with_target):
     want += Counter((i, f, w, w + noise(i), None) for i, n, f, w in rows if n < 20)
     assert Counter(tuple(x) for x in got) == want
     assert importance.resample(odd.frame(spark, True), odd.benchmark(spark)).count() == 0
+
+
+# --- draws and null ids
+
+def test_a_small_share_of_very_many_rows_is_not_none(spark):
+    from tracklake.llm.common import drawn
+
+    rows = 400_000
+    for share in (20_000 / 5e10, 1e-3, 0.25):
+        got = spark.range(rows).filter(drawn(share, "id")).count()
+        assert abs(got - share * rows) <= 5 * math.sqrt(share * rows) + 1
+    assert spark.range(10).filter(drawn(1.0, "id")).count() == 10
+    # what the old bound of a million steps rounded to zero keeps its share: of 2**40 numbers spread evenly over the hashes
+    bound = int(20_000 / 5e10 * 2**63)
+    assert bound > 10**12
+
+
+def test_leaks_without_an_id_are_taken_away(spark):
+    from tracklake.llm import decontamination
+
+    item = odd.prose(60, 21)
+    docs = [(None, "Before it all. " + item + " And after."), (None, odd.prose(80, 22)), (3, item), (4, odd.prose(90, 23)), (None, None), (5, "")]
+    kept = decontamination.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in spark.createDataFrame([docs[1], *docs[3:]], "doc_id long, text string").collect())

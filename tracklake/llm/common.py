@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -75,6 +75,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.drop("moved")
 
 
+def drawn(share: float, *keys) -> Column:
+    """Whether a row belongs to the share of rows that the hash of ``keys`` draws; exact to 2**-53, so that a share of few rows of very
+    many is not rounded to none."""
+    if share >= 1:
+        return F.lit(True)
+    return F.xxhash64(*keys).bitwiseAND(F.lit(2**63 - 1)) < F.lit(int(share * 2**63))
+
+
 BROADCAST_IDS = 1_000_000  # ids of eight bytes: a broadcast of at most some tens of megabytes
 
 

@@ -191,9 +191,13 @@ def near_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_w
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose document holds no benchmark item and no near copy of one."""
-    found = near_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_leaked"], "left_anti")
+    """The rows of ``docs`` (all columns) whose document holds no benchmark item and no near copy of one.
+
+    Rows that repeat an id are one document and go together. A row without an id stands for its text: it goes when that text leaks. Null and
+    empty texts hold nothing and stay; without benchmark items, or documents, nothing is taken away. Further columns are passed on."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    found = near_leaks(docs.select(key.alias("_key"), "text"), benchmark, id_col="_key", **options).select(F.col("doc_id").alias("_leaked")).distinct()
+    return docs.join(found, key == F.col("_leaked"), "left_anti")
 
 
 _IN = "(" + ", ".join(f"'{u}'" for u in UNITS) + ")"

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import filter_rows, map_texts
+from tracklake.llm.common import drawn, filter_rows, map_texts
 
 MAX_POSITIVES = MAX_UNLABELLED = 20_000  # rows a model is fitted on at most (samples by hash of the id)
 FOLDS, HELD_OUT = 4, 2
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positi
     counts = known.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     positives = counts["p"] or 0
     prior = min(0.99, max(0.01, positives / counts["n"])) if counts["n"] else DEFAULT_PRIOR
-    draw = lambda seed, most, n: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, n)))
+    draw = lambda seed, most, n: drawn(most / max(1, n), "doc_id", F.lit(seed))
     trusted = known.filter((F.col("y") == 1) & draw("p", max_positives, positives)).select("doc_id", F.lit(1).alias("trusted"))
     chosen = (docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left")
               .withColumn("free", draw("u", max_unlabelled, docs.select("doc_id").count()))

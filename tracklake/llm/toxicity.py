@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklake.llm.common import map_texts
+from tracklake.llm.common import drawn, map_texts
 from tracklake.llm.features import Hasher
 
 BITS = 20            # 2 ** BITS slots: the proven bound of the weights that are broadcast
@@ -63,9 +63,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, max_
     label side is bounded and broadcast."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = known.count()
-    share = max_rows / max(1, n)
-    if share < 1:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.filter(drawn(max_rows / max(1, n), "doc_id", F.lit(label)))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(known), "doc_id"), min(n, max_rows)
 
