@@ -9,9 +9,9 @@ from tracklake.constants import MODEL_FEATURES
 from tracklake.operators import views
 from tracklake.operators.flatten import (flatten_played, flatten_playlist_items, flatten_playlists,
                                          normalise_features)
-from tracklake.operators.ingest import append_new, fill_nulls, ingest
+from tracklake.operators.ingest import append_new, fill_stored, ingest
 from tracklake.operators.scrape import feature_pairs, feature_rows
-from tracklake.schemas import KEYS, table_schema
+from tracklake.schemas import table_schema
 from tracklake.session import settle
 from tracklake.sources.library import ParquetLibrary
 from tracklake.sources.pages import read_pages
@@ -46,7 +46,6 @@ def refresh_features(spark: SparkSession, feature_pages: DataFrame, tables: str,
     if on_conflict == "keep":
         append_new(spark, tables, "track_features", rows, reject_nulls=False)
     elif on_conflict == "fill_nulls":
-        merged = settle(fill_nulls(stored.track_features, rows, KEYS["track_features"]))
-        merged.write.mode("overwrite").parquet(f"{tables.rstrip('/')}/track_features")
+        fill_stored(spark, tables, "track_features", rows)
     else:
         raise ValueError(f"unknown on_conflict {on_conflict}")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tracklake.constants import MODEL_FEATURES
 from tracklake.operators import flatten, ingest, selection, views
+from tracklake.plans import importing
 from tracklake.plans.registry import query, shared
 from tracklake.session import scratch_path
 from tracklake.sources import csv_files, labels, pages
-from tracklake.sources.library import StarLibrary, spread
-from tracklake.streaming.plays import ingest_keyed_stream
+from tracklake.sources.library import ParquetLibrary, StarLibrary, spread
+from tracklake.streaming.plays import ingest_keyed_stream, ingest_played_stream
 
 FEATURES_SQL = ", ".join(f"f.{c}" for c in MODEL_FEATURES)
 
@@ -314,6 +315,101 @@ def ingest_plays_stream(lib):
     return spark.read.parquet(f"{folder}/table").drop("day")
 
 
+# ---------------------------------------------------------------- landed files
+
+_PAGE_ORDERS = 200  # orders on a landed page
+
+
+def _land(lib: StarLibrary, folder: str, round_no: int) -> None:
+    """Files of one landing: played pages of many items, the first customer's playlists, and their items on pages at two offsets.
+
+    Round 1 leaves out every third order and gives names one ending; round 2 has all orders, so it repeats plays and gives known tracks another name.
+    Tracks of large parts have no name."""
+    spark, key = lib.spark, F.col("l_orderkey").cast("string")
+    name = F.when(F.col("p_size") <= 45, F.concat("p_name", F.lit(f" r{round_no}")))
+    lines = _line_tracks(lib).withColumn("good", F.col("good").withField("name", name).withField("track_number", F.col("p_size")))
+    item = F.struct(F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("played_at"), F.col("good").alias("track"))
+
+    def write(rows: DataFrame, kind: str, page, entry, **head) -> None:
+        names = list(head)
+        entries = rows.select(page.alias("page"), *[c.alias(n) for n, c in head.items()], F.struct("l_orderkey", "l_linenumber", entry.alias("entry")).alias("e"))
+        whole = entries.groupBy("page", *names).agg(F.sort_array(F.collect_list("e")).alias("e"))  # a page is bounded
+        body = F.to_json(F.struct(*[F.col(n) for n in names], F.transform("e", lambda x: x["entry"]).alias("items")))
+        whole.select("page", body.alias("body")).repartition("page").write.partitionBy("page").text(f"{folder}/{kind}/round={round_no}")
+
+    write(lines.filter("l_orderkey % 3 <> 0") if round_no == 1 else lines, "played", F.floor(F.col("l_orderkey") / _PAGE_ORDERS), item)
+    user = lib.orders.agg(F.min("o_custkey")).first()[0]
+    mine = lib.orders.filter(F.col("o_custkey") == user)
+    lists = mine.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.struct(
+        F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit(f"r{round_no} "), F.col("o_orderkey").cast("string")).alias("name"),
+        F.struct(F.col("o_custkey").cast("string").alias("id")).alias("owner"), F.struct(F.lit(1).alias("total")).alias("items"),
+        F.array(F.struct(F.lit("urn:img").alias("url"))).alias("images"), _url("urn:p:", F.col("o_orderkey").cast("string")).alias("external_urls")).alias("entry"))
+    write(lists, "playlists", F.lit(0), F.col("entry"))
+    owned = lines.join(mine.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").filter(F.lit(round_no == 1) | (F.col("l_linenumber") % 2 == 1))
+    offset = F.when(F.col("l_linenumber") <= 3, 0).otherwise(50)
+    write(owned, "playlist_items", F.concat_ws("_", key, offset.cast("string")), F.struct(F.col("good").alias("item")),
+          playlist_id=F.concat(F.lit("p"), key), offset=offset, total=F.lit(51))
+
+
+def _stored_tracks(spark, tables: str) -> DataFrame:
+    """Per track with a play: its stored name and number of plays."""
+    stored = ParquetLibrary(spark, tables)
+    plays = stored.track_events.groupBy("track_id").agg(F.count("*").alias("n"))
+    return plays.join(stored.tracks.select(F.col("id").alias("track_id"), "name"), "track_id", "left").select(F.lit("track").alias("kind"), F.col("track_id").alias("id"), "name", "n")
+
+
+shared("line", """SELECT l_orderkey, l_linenumber, l_shipdate, concat('t', CAST(p_partkey AS STRING)) AS track_id, p_name, p_size,
+    o_custkey = (SELECT min(o_custkey) FROM orders) AS mine, l_orderkey % 3 <> 0 AS early
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON o_orderkey = l_orderkey""")
+
+
+def _tracks_sql(early: str) -> str:
+    return f"""SELECT 'track' AS kind, track_id AS id, max(CASE WHEN p_size <= 45 THEN concat(p_name, CASE WHEN early THEN ' r1' ELSE ' r2' END) END) AS name,
+        count(DISTINCT l_shipdate) AS n
+      FROM (SELECT track_id, p_name, p_size, l_shipdate, bool_or({early}) OVER (PARTITION BY track_id) AS early FROM line) l GROUP BY track_id"""
+
+
+@query(f"""{_tracks_sql('early OR mine')}
+      UNION ALL
+      SELECT 'item', concat('p', CAST(l_orderkey AS STRING), ':', CAST(CASE WHEN spot <= 3 THEN place ELSE 50 + place END AS STRING)), track_id, 1 FROM (
+        SELECT l_orderkey, track_id, CASE WHEN l_linenumber <= 3 THEN 3 ELSE 9 END AS spot,
+          row_number() OVER (PARTITION BY l_orderkey, l_linenumber <= 3 ORDER BY l_linenumber, track_id) - 1 AS place FROM line WHERE mine) p
+      UNION ALL
+      SELECT 'list', concat('p', CAST(o_orderkey AS STRING)), concat('r1 ', CAST(o_orderkey AS STRING)), 1 FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)
+      UNION ALL
+      SELECT 'rerun adds snapshots', '', '', 0""")
+def import_run(lib):
+    """Two landings are imported one after the other, the second one twice: pages of many items, playlists over two pages, repeated plays, other names for
+    known tracks, refused rows, other items for stored playlists."""
+    spark, landed, tables = lib.spark, scratch_path(lib.spark, "landed"), scratch_path(lib.spark, "tables")
+    user = str(lib.orders.agg(F.min("o_custkey")).first()[0])
+    for round_no in (1, 2):
+        _land(lib, landed, round_no)
+        importing.import_pages(spark, landed, tables, user)
+    stored, names = ParquetLibrary(spark, tables), ("tracks", "artists", "albums", "track_artists", "album_artists", "track_events", "playlists", "playlist_tracks")
+    before = stored.version(*names)
+    importing.import_pages(spark, landed, tables, user)
+    items = stored.playlist_tracks.select(F.lit("item"), F.concat_ws(":", "playlist_id", F.col("playlist_order").cast("string")), "track_id", F.lit(1).cast("bigint"))
+    lists = stored.playlists.select(F.lit("list"), "playlist_id", "name", F.lit(1).cast("bigint"))
+    rerun = spark.range(1).select(F.lit("rerun adds snapshots"), F.lit(""), F.lit(""), F.lit(int(stored.version(*names) != before)).cast("bigint"))
+    return _stored_tracks(spark, tables).union(items).union(lists).union(rerun)
+
+
+@query(f"""{_tracks_sql('early')}
+      UNION ALL
+      SELECT 'refused tracks', '', '', 2 * count(*) FILTER (WHERE early AND p_size > 45) + 2 * count(*) FILTER (WHERE p_size > 45) FROM line""")
+def played_pages_stream(lib):
+    """Played pages are streamed as they land: one landing, a second one with the progress kept, and all pages again with the progress lost."""
+    spark, landed, tables, rejects = lib.spark, scratch_path(lib.spark, "landed"), scratch_path(lib.spark, "tables"), scratch_path(lib.spark, "refused")
+    progress = scratch_path(lib.spark, "progress")
+    for step in (1, 2, 3):
+        if step < 3:
+            _land(lib, landed, step)
+        ingest_played_stream(spark, f"{landed}/played", tables, f"{progress}/{step // 3}", f"{rejects}/{step}")
+    refused = spark.read.schema("id string").option("recursiveFileLookup", True).parquet(*[f"{rejects}/{step}/tracks" for step in (1, 2, 3)]).agg(F.count("*").alias("n"))
+    return _stored_tracks(spark, tables).union(refused.select(F.lit("refused tracks"), F.lit(""), F.lit(""), "n"))
+
+
 # ---------------------------------------------------------------- files
 
 _TRICKY = """concat('say "', p_name, '", ', p_type, chr(10), p_brand)"""

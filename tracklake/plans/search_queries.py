@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracklake.constants import (CAMELOT_MAJOR, CAMELOT_MINOR, FLAT_TO_SHARP, MODEL_FEATURES, MOODS,
                                  NUMERIC_FEATURES, PITCH_CLASS, SEARCH_PITCH)
 from tracklake.functions import music
-from tracklake.operators import enrich, explore, playlist, scrape, search
+from tracklake.operators import enrich, ingest, explore, playlist, scrape, search
 from tracklake.operators.flatten import normalise_features
 from tracklake.operators.neighbours import nearest_all, search_batch
 from tracklake.operators.vectorise import feature_defaults as defaults_row
@@ -17,7 +17,7 @@ from tracklake.plans.library_queries import feature_view
 from tracklake.plans.registry import query, shared
 from tracklake.session import scratch_path, settle
 from tracklake.sources import index_store
-from tracklake.sources.library import StarLibrary
+from tracklake.sources.library import ParquetLibrary, StarLibrary
 
 TWO_PI = "2 * pi()"
 
@@ -214,6 +214,41 @@ def index_save_load(lib):
     return _unpacked(index).withColumn("is_current", F.lit(index_store.is_current(lib.spark, path, view)))
 
 
+@query("""SELECT step, n, current FROM (VALUES ('built', TRUE), ('nothing new', TRUE), ('valence filled', FALSE), ('built again', TRUE)) s(step, current),
+          (SELECT count(*) AS n FROM track_features) c
+          UNION ALL SELECT 'without valence', count(*) FILTER (WHERE valence IS NULL), TRUE FROM track_features
+          UNION ALL SELECT 'filled', 0, TRUE""")
+def index_freshness(lib):
+    """An index over snapshot tables: fresh after an insert that adds nothing, stale after a page has completed stored rows, and built again then. Freshness
+    is told from the snapshot numbers; completing rows rewrites the buckets of their keys alone."""
+    spark, tables, path = lib.spark, scratch_path(lib.spark, "tables"), scratch_path(lib.spark, "index")
+    names = ("track_features", "tracks", "albums", "track_artists", "artists")
+    order = ["page_no", "item_pos", "source_rank", "pos"]
+    numbered = lambda df: df.withColumns({c: F.lit(0) for c in order})
+    for name in names:
+        ingest.append_new(spark, tables, name, numbered(getattr(lib, name)), reject_nulls=False)
+    stored = ParquetLibrary(spark, tables)
+    make = lambda: feature_view(stored)
+    steps = []
+
+    def note(step: str) -> None:
+        index, _ = index_store.load_index(spark, path)
+        steps.append((step, index.count(), index_store.is_current(spark, path, version=stored.version(*names))))
+
+    index_store.ensure_index(spark, path, make, stored.version(*names))
+    note("built")
+    ingest.append_new(spark, tables, "track_features", numbered(lib.track_features), reject_nulls=False)
+    note("nothing new")
+    gaps = stored.track_features.filter("valence IS NULL")
+    steps.append(("without valence", gaps.count(), True))
+    ingest.fill_stored(spark, tables, "track_features", numbered(gaps.withColumn("valence", F.lit(50))))
+    note("valence filled")
+    index_store.ensure_index(spark, path, make, stored.version(*names))
+    note("built again")
+    steps.append(("filled", stored.track_features.filter("valence IS NULL").count(), True))
+    return spark.createDataFrame(steps, "step string, n long, current boolean")
+
+
 # ---------------------------------------------------------------- moods and playlists
 
 def _range_sql(column: str, low: int, high: int) -> str:

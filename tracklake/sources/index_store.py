@@ -22,12 +22,12 @@ def snapshot(view: DataFrame) -> dict:
     return row.asDict()
 
 
-def save_index(spark: SparkSession, path: str, index: DataFrame, stats: VectorStats, source: dict) -> int:
+def save_index(spark: SparkSession, path: str, index: DataFrame, stats: VectorStats, source: dict, version: str | None = None) -> int:
     """The statistics are written last: their presence marks a complete index."""
     index.write.mode("overwrite").parquet(f"{path}/vectors")
     rows = spark.read.parquet(f"{path}/vectors").count()
-    record = [{**asdict(stats), **source, "indexed_rows": rows}]
-    schema = f"{STATS_SCHEMA}, source_rows long, source_digest long, source_sum long, indexed_rows long"
+    record = [{**asdict(stats), "source_rows": None, "source_digest": None, "source_sum": None, **source, "source_version": version, "indexed_rows": rows}]
+    schema = f"{STATS_SCHEMA}, source_rows long, source_digest long, source_sum long, source_version string, indexed_rows long"
     spark.createDataFrame(record, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return rows
 
@@ -36,23 +36,27 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, VectorStats]:
     return spark.read.parquet(f"{path}/vectors"), VectorStats.from_row(spark.read.parquet(f"{path}/stats").first())
 
 
-def build(spark: SparkSession, path: str, view: DataFrame, missing: str = "defaults") -> dict:
+def build(spark: SparkSession, path: str, view: DataFrame, missing: str = "defaults", version: str | None = None) -> dict:
+    """``version`` names the snapshots the view is made from; without it the rows themselves are digested."""
     index, stats = build_index(view, missing)
-    return {"tracks_indexed": save_index(spark, path, index, stats, snapshot(view)), "path": path}
+    return {"tracks_indexed": save_index(spark, path, index, stats, {} if version else snapshot(view), version), "path": path}
 
 
-def is_current(spark: SparkSession, path: str, view: DataFrame) -> bool:
-    """Complete, of the right shape, and built from the rows the tables hold now."""
+def is_current(spark: SparkSession, path: str, view: DataFrame | None = None, version: str | None = None) -> bool:
+    """Complete, of the right shape, and built from the rows the tables hold now. With ``version`` no row is read: the snapshot numbers are compared."""
     if not (path_exists(spark, f"{path}/vectors/_SUCCESS") and path_exists(spark, f"{path}/stats/_SUCCESS")):
         return False
-    vectors, stats = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/stats").first()
-    if "album_image_url" not in vectors.columns or vectors.count() != stats["indexed_rows"]:
+    vectors, stats = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/stats").first().asDict()
+    if "album_image_url" not in vectors.columns:
         return False
-    return {k: stats[k] for k in ("source_rows", "source_digest", "source_sum")} == snapshot(view)
+    if version is not None:
+        return stats.get("source_version") == version
+    return vectors.count() == stats["indexed_rows"] and {k: stats[k] for k in ("source_rows", "source_digest", "source_sum")} == snapshot(view)
 
 
-def ensure_index(spark: SparkSession, path: str, view: Callable[[], DataFrame]) -> tuple[DataFrame, VectorStats]:
-    source = view()
-    if not is_current(spark, path, source):
-        build(spark, path, source)
+def ensure_index(spark: SparkSession, path: str, view: Callable[[], DataFrame], version: str | None = None) -> tuple[DataFrame, VectorStats]:
+    """The stored index, built anew where it does not fit. ``view`` is only called where its rows are needed."""
+    source = None if version else view()
+    if not is_current(spark, path, source, version):
+        build(spark, path, view() if source is None else source, version=version)
     return load_index(spark, path)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracklake.schemas import TABLES
+from tracklake.schemas import KEYS, TABLES, table_schema
+from tracklake.sources.snapshots import MANIFESTS, SnapshotTable
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -108,11 +109,21 @@ class ParquetLibrary(Library):
         if name not in TABLES:
             raise AttributeError(name)
         folder = f"{self.path}/{name}"
+        if path_exists(self.spark, f"{folder}/{MANIFESTS}"):
+            return self.snapshots(name).read()
         if not path_exists(self.spark, folder):
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(folder)
 
 
+    def snapshots(self, name: str) -> SnapshotTable:
+        return SnapshotTable(self.spark, f"{self.path}/{name}", table_schema(name), KEYS[name])
+
+    def version(self, *names: str) -> str:
+        """Snapshot numbers of tables, to compare with those something was made from."""
+        return ",".join(f"{n}={self.snapshots(n).version()}" for n in names)
+
+
 class StarLibrary(Library):
     """The same tables derived from the star-schema Parquet files."""
 
