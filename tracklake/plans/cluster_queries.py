@@ -363,6 +363,25 @@ def cluster_profiles(lib):
     return rounded(selection.cluster_profiles(rows), NUMERIC_FEATURES)
 
 
+@query("SELECT family, 7 AS runs, (SELECT count(*) FROM complete) AS placed, TRUE AS same_counters, TRUE AS same_best FROM (VALUES ('kmeans'), ('agglomerative'), ('birch'), ('gmm')) f(family)")
+def clustering_facts(lib):
+    """What the files of a run say about it: every K-family run has all rows, the counters of the manifest are those of the written assignments
+    (of all runs, DBSCAN's as well), and the best run is the first of the manifest by the rule of choice."""
+    path = scratch_path(lib.spark, "clustering")
+    result = clustering.run_clustering(lib.spark, lib, path, restarts=2)
+    manifest = lib.spark.read.parquet(f"{path}/algorithm_manifest")
+    counted = metrics.run_counters(lib.spark.read.parquet(f"{path}/assignments").select(F.col("algorithm").alias("run"), "cluster")).select(
+        F.col("run").alias("algorithm"), *[F.col(c).alias(f"_{c}") for c in ("n_clusters", "assigned_points", "noise_points")])
+    both = settle(manifest.join(counted, "algorithm", "full"))
+    same = F.coalesce((F.col("n_clusters") == F.col("_n_clusters")) & (F.col("assigned_points") == F.col("_assigned_points"))
+                      & (F.col("noise_points") == F.col("_noise_points")), F.lit(False))
+    judged = both.agg(F.every(same).alias("same")).first()
+    best = selection.choose_best(manifest).first()["algorithm"] == result["best_algorithm"]
+    return (both.withColumn("family", F.regexp_extract("algorithm", "^([a-z]+)_", 1)).filter("family <> 'dbscan'").groupBy("family").agg(
+        F.count("*").cast("int").alias("runs"), F.max(F.col("assigned_points") + F.col("noise_points")).alias("placed"))
+        .withColumns({"same_counters": F.lit(judged["same"]), "same_best": F.lit(best)}))
+
+
 @query()
 def clustering_run(lib):
     """The whole run on the reduced track features: K-means, Ward, Birch and mixtures for every k, all DBSCAN settings,
