@@ -1,11 +1,17 @@
 """Snapshot tables: atomic publication, buckets, versions."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tracklake.operators import enrich, search
 from tracklake.operators.ingest import append_new, fill_stored
+from tracklake.session import settle
 from tracklake.sources import index_store
+from tracklake.sources.cell_index import CellIndex, write_cells
 from tracklake.sources.library import ParquetLibrary
 from tracklake.sources.snapshots import Conflict, SnapshotTable
 
@@ -90,3 +96,32 @@ def test_an_index_is_fresh_by_number(spark, tmp_path):
     assert not index_store.is_current(spark, path, version=stored.version("track_features"))
     assert stored.track_features.filter("valence = 3").count() == 1 and stored.track_features.count() == 30
     assert index_store.ensure_index(spark, path, view, stored.version("track_features"))[0].count() == 30
+
+
+def test_cells_give_the_rows_of_a_full_scan(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(0, 1, (40, 8))
+    x = middles[rng.integers(0, 40, 4_000)] + rng.normal(0, 0.1, (4_000, 8))
+    x = np.concatenate([x, x[:300]])  # copies: ties
+    x /= np.sqrt((x ** 2).sum(1))[:, None]
+    index = spark.createDataFrame([(f"t{i:04d}", "n", "a", "b", "u", [float(v) for v in row]) for i, row in enumerate(x)],
+                                  "track_id string, track_name string, artist_names string, album_name string, album_image_url string, vector array<double>")
+    index = settle(index)
+    assert write_cells(index, str(tmp_path / "c"), cell_rows=64) == math.ceil(4_300 / 64)
+    cells, read = CellIndex(spark, str(tmp_path / "c")), []
+    for i in (0, 7, 1_234, 4_299):
+        found = cells.search_by_track_id(f"t{i:04d}", 12)
+        want = search.search_by_track_id(index, f"t{i:04d}", 12)
+        assert [tuple(r) for r in found.rows.orderBy("rank").collect()] == [tuple(r) for r in want.orderBy("rank").collect()]
+        read.append(found.cells_read / found.cells)
+    assert sum(read) / len(read) < 0.5
+    with pytest.raises(ValueError):
+        cells.search_by_track_id("none")
+    write_cells(settle(index.limit(0)), str(tmp_path / "e"))
+    assert CellIndex(spark, str(tmp_path / "e")).search([1.0] * 8).rows.count() == 0
+
+
+def test_frames_with_gaps_and_of_different_widths(spark):
+    frames = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, None]), ("a", [5.0]), ("b", None), ("b", [None]), ("c", [])], "k string, scores array<double>")
+    got = sorted(tuple(r) for r in enrich.mean_pool(frames, ["k"]).collect())
+    assert got == [("a", 0, 3.0), ("a", 1, 2.0), ("b", 0, None)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,9 +15,15 @@ from tracklake.functions.music import key_features, unit_scale
 def mean_pool(frames: DataFrame, keys: list[str], scores: str = "scores") -> DataFrame:
     """(keys, pos, mean): column means of a frame-by-class matrix.
 
-    Frames spread over tasks; partial means combine before the shuffle, so a track of any length is fine."""
-    return (frames.select(*keys, F.posexplode(scores).alias("pos", "v"))
-            .groupBy(*keys, "pos").agg(F.avg(F.col("v").cast("double")).alias("mean")))
+    A frame stays one row: vectors are summed up before the shuffle, so a track of any length is fine. Frames with gaps, and only these,
+    are unrolled; frames of different widths are summed apart and then added position by position."""
+    plain = frames.select(*keys, F.col(scores).cast("array<double>").alias("_s")).filter(F.col("_s").isNotNull() & (F.size("_s") > 0))
+    gap = F.exists("_s", lambda x: x.isNull())
+    sums = (plain.filter(~gap).groupBy(*keys, F.size("_s").alias("_w"))
+            .agg(F.count("*").alias("_n"), vector_to_array(Summarizer.sum(array_to_vector("_s"))).alias("_t"))
+            .select(*keys, "_n", F.posexplode("_t").alias("pos", "_v")))
+    loose = plain.filter(gap).select(*keys, F.posexplode("_s").alias("pos", "_v")).groupBy(*keys, "pos").agg(F.count("_v").alias("_n"), F.sum("_v").alias("_v"))
+    return sums.unionByName(loose).groupBy(*keys, "pos").agg(F.try_divide(F.sum("_v"), F.sum("_n")).alias("mean"))
 
 
 def label_scores(pooled: DataFrame, keys: list[str], labels: Column) -> DataFrame:

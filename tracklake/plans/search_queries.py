@@ -16,7 +16,7 @@ from tracklake.operators.vectorise import fit_vectors, vectorise
 from tracklake.plans.library_queries import feature_view
 from tracklake.plans.registry import query, shared
 from tracklake.session import scratch_path, settle
-from tracklake.sources import index_store
+from tracklake.sources import cell_index, index_store
 from tracklake.sources.library import ParquetLibrary, StarLibrary
 
 TWO_PI = "2 * pi()"
@@ -136,6 +136,20 @@ def similar_by_id(lib):
     return rounded(search.search_by_track_id(index, first, 10), ["score"])
 
 
+@query(f"""SELECT CAST(row_number() OVER (ORDER BY s DESC, track_id) AS INT) AS rank, track_id, track_name, artist_names, album_name,
+                  album_image_url, round(s, 6) + 0.0 AS score
+           FROM (SELECT {_META}, {_DOT} AS s FROM idx_vec a JOIN feature_view f ON f.track_id = a.track_id
+                 JOIN (SELECT * FROM idx_vec WHERE track_id = {_FIRST_TRACK}) q ON a.track_id <> q.track_id
+                 ORDER BY s DESC, f.track_id LIMIT 10) t""")
+def similar_by_cells(lib):
+    """The same search on the index stored by cells: cells are opened best bound first until no other can hold a better row."""
+    index, _ = _index(lib)
+    path = scratch_path(lib.spark, "cells")
+    cell_index.write_cells(settle(index), path, cell_rows=64)
+    first = lib.track_features.agg(F.min("track_id")).first()[0]
+    return rounded(cell_index.CellIndex(lib.spark, path).search_by_track_id(first, 10).rows, ["score"])
+
+
 def _query_sql(values: dict[str, str]) -> str:
     """Unit components of a query given as SQL text per raw component; the others are index defaults."""
     raw = {i: f"(SELECT median({c}) FROM track_features)" for i, c in enumerate(NUMERIC_FEATURES)}
@@ -435,12 +449,17 @@ def mean_pool(lib):
 
 
 # The key column is itself called label, so the oracle names the class ``genre``.
-_SCORED = f"SELECT p.label, n.n_name AS genre, p.pos, abs(p.m) * 10 AS score FROM ({_POOLED}) p JOIN nation n ON n.n_nationkey = p.pos"
+# The 25 nations name all positions, with a number behind every further round.
+_SCORED = f"""SELECT p.label, concat(n.n_name, ' ', CAST(p.pos // 25 AS STRING)) AS genre, p.pos, abs(p.m) * 10 AS score
+    FROM ({_POOLED}) p JOIN nation n ON n.n_nationkey = p.pos % 25"""
 
 
 def _by_group(lib: StarLibrary) -> DataFrame:
     points = _points(lib).withColumnRenamed("label", "track_id")
-    names = lib.nation.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x.n_name)).scalar()
+    width = points.agg(F.max(F.size("vector"))).first()[0]
+    nations = lib.nation.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x.n_name).alias("names"))
+    names = nations.select(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.concat(
+        F.get("names", i % 25), F.lit(" "), F.floor(i / 25).cast("string")))).scalar()
     return enrich.label_scores(enrich.mean_pool(points, ["track_id"], "vector"), ["track_id"], names).withColumn("score", F.abs("score") * 10)
 
 
@@ -449,6 +468,19 @@ def label_scores(lib):
     return rounded(_by_group(lib), ["score"])
 
 
+@query(f"""SELECT label AS track_id, count(*) AS labels, round(max(CASE WHEN pos = 0 THEN score END), 6) + 0.0 AS first_score,
+                  round(max(CASE WHEN pos = 63 THEN score END), 6) + 0.0 AS last_score, round(max(score), 6) + 0.0 AS best_score
+           FROM ({_SCORED}) s GROUP BY label""")
+def score_map_lookup(lib):
+    """The map of all class scores of a track, asked for two labels, its size and its largest value."""
+    scored = settle(_by_group(lib))
+    ends = scored.filter(F.col("pos").isin(0, 63)).groupBy("track_id").agg(F.min_by("label", "pos").alias("a"), F.max_by("label", "pos").alias("z"))
+    maps = enrich.score_map(scored, ["track_id"]).join(ends, "track_id")
+    return rounded(maps.select("track_id", F.size("scores").cast("bigint").alias("labels"), F.try_element_at("scores", "a").alias("first_score"),
+                               F.try_element_at("scores", "z").alias("last_score"), F.array_max(F.map_values("scores")).alias("best_score")),
+                   ["first_score", "last_score", "best_score"])
+
+
 @query(f"""SELECT label AS track_id, genre, CAST(rn - 1 AS INT) AS genre_order FROM (
              SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, pos) AS rn FROM ({_SCORED}) s) r
            WHERE rn <= 5 AND score >= 0.15""")
