@@ -125,9 +125,14 @@ def survey(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
     def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        shingles, times = np.unique(np.concatenate(held), return_counts=True)
-        often = times >= HOT_IN_CHUNK
-        return batch(int(often.sum()), {"shingle": shingles[often].view(np.int64), "times": times[often]})
+        """Shingles found often enough in the chunk, which is given up for it: one sorted copy is all that is held besides."""
+        shingles = np.concatenate(held)
+        held.clear()
+        shingles.sort()
+        reach = HOT_IN_CHUNK - 1
+        often = np.unique(shingles[:len(shingles) - reach][shingles[:len(shingles) - reach] == shingles[reach:]]) if len(shingles) > reach else shingles[:0]
+        times = np.searchsorted(shingles, often, "right") - np.searchsorted(shingles, often, "left")
+        return batch(len(often), {"shingle": often.view(np.int64), "times": times})
 
     def run(batches):
         seen: set = set()
