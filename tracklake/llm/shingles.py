@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))  # A-Z alone
-_FORGET = 1_000_000  # words remembered at most
+_FORGET = 250_000  # words remembered at most: some 50 MB in each Python worker
 _known: dict[bytes, int] = {}
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
