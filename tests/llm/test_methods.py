@@ -8,11 +8,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm import secret_reference
 from tests.llm.odd import prose
 from tracklake.llm import (compression, decontamination, licenses, packing, pii, quality, queries, recompression, registry, secret_scan,
-                           signature_tree, toxicity)
+                           signature_tree, spans, toxicity)
 from tracklake.llm.features import Hasher
 from tracklake.llm.shingles import shingle_set
 
@@ -198,34 +200,65 @@ def test_account_numbers_before_other_tokens():
     assert pii.ibans(f"XX12 3456 7890 {grouped}") == [(15, 15 + len(grouped))]
 
 
-def test_secrets_base_and_battery(texts):
-    for text in texts.values():
-        want = [("assign", *m.span()) for m in re.finditer(
-            r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 6]
-        want += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
-        want += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
-        assert secret_scan.base_spans(text) == sorted(want, key=lambda s: (s[1], secret_scan.BASE_KINDS.index(s[0])))
-    r = random.Random(3)
-    for name in ("hex", "base62"):
-        tokens = ["".join(r.choice(secret_scan.ENCODINGS[name]) for _ in range(40)) for _ in range(200)]
-        scores = [secret_scan.battery(t, name) for t in tokens]
-        assert sum(p < secret_scan.RANDOM_LEVEL for p, _ in scores) <= 4
-        assert sum(o < 1e-2 for _, o in scores) > 150
-    assert secret_scan.battery("internationalization2024conference", "base36")[1] > 0.1
+def planted(n: int, seed: int = 3) -> list[tuple]:
+    """Texts with keys of all kinds and lengths, words run together, identifiers and paths: (id, text)."""
+    r = random.Random(seed)
+    alphabets = {name: (secret_scan.SYMBOLS[:62] + "-_" if name == "base64url" else secret_scan.SYMBOLS[:k]) for name, k in secret_scan.SIZES.items()}
+    plain = ["internationalization_and_localization", "usr/share/applications/defaults", "conference2024programmecommittee", "x" * 45 + "1",
+             "token = 'abc'", "password: hunter2hunter2", "api_key=AKIA" + "Q7" * 9, "é日本 secret=\"a.b.c=\"", "AKIAshort", "TOKEN:" + "ab12" * 10]
+    out = []
+    for i in range(n):
+        name = r.choice(list(alphabets))
+        key = "".join(r.choice(alphabets[name]) for _ in range(r.choice((20, 32, 48, 64, 120))))
+        words = [r.choice(plain) for _ in range(r.randint(0, 6))] + [key] * (i % 3) + [f"secret = {key}"] * (i % 5 == 0) + [key + "=="] * (i % 7 == 0)
+        r.shuffle(words)
+        out.append((i, " ".join(words)))
+    return out + [(None, None), (n, ""), (n, None), (n + 1, "deadbeef" * 3 + " cafe " * 3 + "token=" + "z" * 6 + " é " * 5 + "0123456789abcdef" * 2)]
+
+
+def test_secrets_against_plain_python(spark, texts):
+    rows = planted(400) + list(texts.items())
+    want = secret_reference.scan(rows)
+    got = secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).drop("base", "tested")
+    plan = got._jdf.queryExecution().toString()
+    assert not any(name in plan for name in ("MapInArrow", "MapInPandas", "PythonUDF", "ArrowEvalPython"))
+    key = lambda row: tuple((x is not None, x) for x in row)
+    got = sorted((tuple(r) for r in got.collect()), key=key)
+    assert got == sorted(want, key=key)
+    assert sum("random:" in r[-1] for r in got) > 100
+
+
+def test_secret_battery(spark):
+    r = random.Random(11)
+    tokens = [("".join(r.choice(secret_scan.SYMBOLS[:k]) for _ in range(n)),) for k in (16, 36, 62, 64) for n in (20, 24, 40, 64, 400) for _ in range(20)]
+    tokens += [("internationalization2024conference",), ("a" * 30,), ("ab" * 4_000,), ("A1-_+/" * 6 + "==",), ("z" * 19 + "-",)]
+    rows = spark.createDataFrame(tokens, "t string").select("t", secret_scan.battery(F.col("t")).alias("b")).select("t", "b.*").collect()
+    for row in rows:
+        encoding, p_random, p_ordinary = secret_reference.battery(row.t)
+        assert row.encoding == encoding
+        assert row.p_random == pytest.approx(p_random, rel=1e-5, abs=1e-12)
+        assert abs(row.step - secret_reference.step_of(p_ordinary)) <= 1, row
+    drawn = [x for x in rows if len(x.t) == 400]
+    assert sum(x.p_random < secret_scan.RANDOM_LEVEL for x in drawn) <= 2 and all(x.step > 100 for x in drawn)
+
+
+def test_candidates_need_no_digit(spark):
+    r = random.Random(5)
+    keys = ["".join(r.choice(secret_scan.SYMBOLS[10:62]) for _ in range(n)) for n in (20, 24, 60)]
+    rows = spark.createDataFrame([(f"key {k} end",) for k in keys], "t string").select(spans.places(F.col("t"), secret_scan.CANDIDATE).alias("p")).collect()
+    assert [[(p.start, p.end, p.value) for p in row.p] for row in rows] == [[(4, 4 + len(k), k)] for k in keys]
 
 
-def test_candidates_need_no_digit():
-    r = random.Random(5)
-    for n in (20, 24, 60):
-        token = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
-        assert [m.span() for m in secret_scan.CANDIDATE.finditer(f"key {token} end")] == [(4, 4 + n)]
-        assert secret_scan.CANDIDATE.search("x" * 45 + "1")
+def test_places_of_very_many_matches(spark):
+    got = spark.range(1).select(spans.places(F.expr("repeat('é ab12 ', 60000)"), "[a-z]+([0-9]+)", 1).alias("p")).select(
+        F.size("p").alias("n"), F.expr("size(filter(p, (x, i) -> x.start = 7 * i + 2 and x.end = x.start + 4 and x.value = '12'))").alias("right")).first()
+    assert tuple(got) == (60_000, 60_000)
 
 
-def test_false_discovery_threshold():
-    assert secret_scan.threshold({}) > secret_scan.DEEPEST * secret_scan.GRID
-    steps = {200: 50, 5: 1_000}
-    assert secret_scan.threshold(steps, 0.01) == 200
+def test_false_discovery_threshold(spark):
+    tested = spark.createDataFrame([("hex", 200)] * 50 + [("hex", 5)] * 1_000 + [("base62", 3)] * 9, "encoding string, step int")
+    assert [tuple(r) for r in secret_scan.thresholds(tested, 0.01).collect()] == [("hex", 200)]
+    assert secret_reference.threshold({200: 50, 5: 1_000}, 0.01) == 200
 
 
 def test_license_rules(spark):
