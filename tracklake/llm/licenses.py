@@ -12,6 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.llm.spans import running
+
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # maximal runs of these on the unfolded text are the words
 # The base phrases and their labels.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -184,17 +186,10 @@ def _places(words: Column, phrase: str) -> Column:
 
 def _spans(hit: Column) -> Column:
     """(start, end, priority, label) of every match of a rule, from the pieces between its matches."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,priority:int,label:string>>)")
-    return F.aggregate(
-        F.sequence(F.lit(0), F.size(hit["found"]) - 1),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get(hit["between"], i)) + F.length(F.get(hit["found"], i))).alias("at"),
-            F.array_append(acc["spans"], F.struct(
-                (acc["at"] + F.length(F.get(hit["between"], i))).alias("start"),
-                (acc["at"] + F.length(F.get(hit["between"], i)) + F.length(F.get(hit["found"], i))).alias("end"),
-                hit["priority"].alias("priority"), hit["label"].alias("label"))).alias("spans")),
-        lambda acc: acc["spans"])
+    steps = F.transform(hit["found"], lambda f, i: F.length(F.get(hit["between"], i)) + F.length(f))
+    return F.transform(running(steps), lambda end, i: F.struct(
+        (end - F.length(F.get(hit["found"], i))).alias("start"), end.alias("end"),
+        hit["priority"].alias("priority"), hit["label"].alias("label")))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", signatures: list[Rule] | None = None) -> DataFrame:
