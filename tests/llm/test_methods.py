@@ -2,12 +2,15 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -161,6 +164,39 @@ def test_bands_follow_the_table(spark):
     assert all(r["n_chunks"] == -(-len(texts[r["doc_id"]]) // compression.CHUNK) for r in rows)
 
 
+@pytest.mark.parametrize("n", [3, 60, 400])
+def test_verdicts_against_plain_code(spark, texts, n):
+    """Every verdict from sorted lists of ratios, at table sizes below and above the weight of the fixed limits."""
+    rows = [(i, t) for i, t in sorted(texts.items())[:n]] + [(-1, prose(9_000, 7)), (-2, prose(9_000, 7)), (-3, "ab " * 3_000), (-4, "")]
+    z = zstandard.ZstdCompressor(level=compression.LEVEL, write_content_size=False)
+    pieces = lambda raw: [raw[i:i + compression.CHUNK] for i in range(0, len(raw), compression.CHUNK)]
+    ratio = lambda raw: len(z.compress(raw)) / len(raw)
+    step = lambda raw: int(4 * math.log2(len(raw)))
+    different = {t.encode() for _, t in rows if t}
+    lists = {}
+    for raw in different:
+        for whole, parts in ((True, [raw]), (False, pieces(raw))):
+            for part in parts:
+                lists.setdefault((whole, step(part)), []).append(math.floor(ratio(part) * 2_000 + 0.5))
+
+    def inside(whole, raw):
+        low, high = compression.CHUNK_BAND if not whole and len(raw) == compression.CHUNK else next(
+            (a, b) for least, a, b in reversed(compression.WHOLE_BANDS) if len(raw) >= least)
+        seen = lists[whole, step(raw)]
+        middle = statistics.median_low(seen)
+        spread = max(0.01, 1.4826 * statistics.median_low([abs(x - middle) for x in seen]) / 2_000)
+        share = len(seen) / (len(seen) + 50)
+        return (low + share * max(0, middle / 2_000 - 2.5 * spread - low) <= ratio(raw)
+                <= high - share * max(0, high - middle / 2_000 - 2.5 * spread))
+
+    got = {r["doc_id"]: r for r in compression.compression_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        raw = t.encode()
+        want = bool(raw) and not got[i]["base_failed"] and inside(True, raw) and 2 * sum(not inside(False, c) for c in pieces(raw)) <= len(pieces(raw))
+        assert got[i]["kept"] == want, i
+    assert {r["kept"] for r in got.values()} == {True, False}
+
+
 BASE_PII = (("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
@@ -276,6 +312,11 @@ def test_license_rules(spark):
     assert (got[8]["n_base"], got[8]["last_word"], got[8]["n_words"]) == (2, 4, 7)
 
 
+def test_license_text_with_very_many_detections(spark):
+    got = licenses.license_scan(spark.range(1).select("id", F.expr("repeat('the mit license and ', 40000)").alias("text")), "id").first()
+    assert (got["labels"], got["n_detections"], got["n_words"]) == ("mit", 40_000, 160_000)
+
+
 def test_every_license_rule_is_reached(spark):
     """A text made from each rule passes the gate and the keyword of the rule and is found by it."""
     made, rules = [], licenses.rules()

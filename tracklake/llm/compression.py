@@ -20,7 +20,7 @@ from tracklake.session import settle
 
 # Outermost limits (fixed values) of the ratio compressed / raw bytes, by raw length from which they hold: (length, low, high).
 # Short frames carry headers and no history, so their ratios are higher and their bands wider. They also serve lengths of
-# which a table has too few texts.
+# which a table has few texts.
 WHOLE_BANDS = ((0, 0.0, 9.0), (200, 0.50, 1.0), (500, 0.45, 0.85), (1_000, 0.40, 0.75), (3_000, 0.33, 0.70),
                (10_000, 0.28, 0.66), (30_000, 0.25, 0.62))
 CHUNK = 2_048              # bytes of a chunk
@@ -32,7 +32,7 @@ MAX_REPEATED = 50          # percent of the words
 STEPS = 4                  # length classes to a doubling of the length
 SPREADS = 2.5              # a band reaches so many spreads (1.4826 median deviations) to either side of the median
 LEAST_SPREAD = 0.01        # of near copies that fill a length class
-LEAST_TEXTS = 50           # different texts that set a band; classes up to an octave away are added until there are as many
+OUTER_WEIGHT = 50          # the outermost limits count like so many texts of a length class, the table's own band like the texts it has
 GRAIN = 2_000              # ratios are counted in steps of 1 / GRAIN
 
 RESULT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -94,13 +94,15 @@ def measures(chunk: int = CHUNK, level: int = LEVEL):
 def verdict(chunk: int = CHUNK, bands=WHOLE_BANDS, chunk_band=CHUNK_BAND, bad_chunks: float = BAD_CHUNKS, learned=None):
     """(base_failed, length, size, chunks) -> (kept, ratio, n_chunks, n_low_chunks, n_high_chunks).
 
-    ``learned`` has (low, high) by (whole text or chunk, length class); the fixed bands are the outermost limits."""
+    ``learned`` has (low, high, texts) by (whole text or chunk, length class). A limit lies between the outermost and the learned one,
+    nearer to the learned one the more texts stand behind it; it never leaves the outermost limits."""
     learned = learned or {}
 
     def limits(whole: bool, length: int) -> tuple[float, float]:
         low, high = chunk_band if not whole and length == chunk else band(length, bands)
-        least, most = learned.get((whole, length_class(length)), (low, high))
-        return max(low, least), min(high, most)
+        least, most, n = learned.get((whole, length_class(length)), (low, high, 0))
+        share = n / (n + OUTER_WEIGHT)
+        return low + share * max(0.0, least - low), high - share * max(0.0, high - most)
 
     def decide(failed: bool, length: int, size: int, chunks) -> tuple:
         ratio = size / length if length else None
@@ -138,8 +140,8 @@ def _middle(counts: dict[int, int]) -> int:
     return 0
 
 
-def learned_bands(measured: DataFrame) -> dict[tuple[bool, int], tuple[float, float]]:
-    """(low, high) by (whole text or chunk, length class), from the ratios of all different texts: copies count once.
+def learned_bands(measured: DataFrame) -> dict[tuple[bool, int], tuple[float, float, int]]:
+    """(low, high, texts) by (whole text or chunk, length class), from the ratios of all different texts: copies count once.
 
     Ratios are counted on a grid in Spark, so only a few thousand counts reach the driver and no order of rows matters."""
     texts = measured.filter("_length > 0").select("_key", "_length", "_size", "_step", "_chunks").dropDuplicates(["_key", "_length"])
@@ -150,19 +152,13 @@ def learned_bands(measured: DataFrame) -> dict[tuple[bool, int], tuple[float, fl
     for r in seen.collect():
         counted[r["whole"], r["step"]][r["bin"]] = r["n"]
     bands = {}
-    for whole, step in counted:
-        for reach in range(STEPS + 1):
-            pool: Counter = Counter()
-            for s in range(step - reach, step + reach + 1):
-                pool.update(counted.get((whole, s), {}))
-            if sum(pool.values()) >= LEAST_TEXTS:
-                middle = _middle(pool)
-                away: Counter = Counter()
-                for value, n in pool.items():
-                    away[abs(value - middle)] += n
-                spread = max(LEAST_SPREAD, 1.4826 * _middle(away) / GRAIN)
-                bands[whole, step] = (middle / GRAIN - SPREADS * spread, middle / GRAIN + SPREADS * spread)
-                break
+    for key, pool in counted.items():
+        middle = _middle(pool)
+        away: Counter = Counter()
+        for value, n in pool.items():
+            away[abs(value - middle)] += n
+        spread = max(LEAST_SPREAD, 1.4826 * _middle(away) / GRAIN)
+        bands[key] = (middle / GRAIN - SPREADS * spread, middle / GRAIN + SPREADS * spread, sum(pool.values()))
     return bands
 
 
@@ -171,7 +167,7 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A document is kept when the base rules pass, the zstandard ratio of the whole text lies in the band of its
     length and at most half of its chunks, the last and shorter one included, leave the band of theirs. The bands are median and
-    spread of the ratios of all different texts of the table within the fixed limits. Null and empty texts have no ratio and fail.
+    spread of the ratios of all different texts of the table of that length class, weighed against the fixed limits by their number. Null and empty texts have no ratio and fail.
     Repeated rows are judged each; a null id is passed on; an empty table gives an empty result; other columns are
     not read. Texts are read and compressed once; their sizes are settled, counted by length class and then judged."""
     measured = settle(map_texts(docs, measures(chunk, level), MEASURED, id_col, text_col))
