@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracklake.constants import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from tracklake.functions import music
+from tracklake.operators.quantiles import medians
 
 DIMENSION = len(NUMERIC_FEATURES) + 6
 
@@ -45,11 +46,13 @@ STATS_SCHEMA = (
 def feature_defaults(features: DataFrame, exact: bool = True) -> DataFrame:
     """One row: median of every numeric feature and most frequent category, the smallest on ties.
 
-    Both aggregates hold one counter per distinct value and combine before the shuffle; the features are
-    whole numbers of a small range. ``exact=False`` is for columns with unboundedly many distinct values."""
-    middle = F.median if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-    row = features.agg(*[middle(c).cast("double").alias(c) for c in NUMERIC_FEATURES],
-                       *[F.mode(c, deterministic=True).alias(f"{c}_default") for c in CATEGORICAL_FEATURES])
+    Medians are exact by refinement; ``exact=False`` takes one pass and approximate ones."""
+    modes = [F.mode(c, deterministic=True).alias(f"{c}_default") for c in CATEGORICAL_FEATURES]
+    if exact:
+        row = features.agg(*modes).select(
+            *[F.lit(m).cast("double").alias(c) for c, m in zip(NUMERIC_FEATURES, medians(features, NUMERIC_FEATURES))], "*")
+    else:
+        row = features.agg(*[F.percentile_approx(c, 0.5, 10000).cast("double").alias(c) for c in NUMERIC_FEATURES], *modes)
     return row.select(
         *NUMERIC_FEATURES, "key_default",
         F.coalesce(music.pitch_class(F.col("key_default")), F.lit(0)).alias("pitch_class_default"),
