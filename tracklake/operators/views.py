@@ -20,6 +20,7 @@ def _credits(bridge: DataFrame, artists: DataFrame, owner: str, prefix: str) ->
             .join(a, "artist_id", "left").drop("artist_id"))
 
 
+# The columns of the play history, in order.
 PLAY_HISTORY = [
     "played_at", "track_id", "track_name", "disc_number", "duration_ms", "explicit", "track_number", "track_url",
     "album_id", "album_name", "album_type", "release_date", "total_tracks", "image_url", "album_url",
