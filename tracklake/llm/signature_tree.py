@@ -95,9 +95,8 @@ def routing_keys(tokens: np.ndarray, bands: Bands, hot: np.ndarray) -> np.ndarra
     return np.concatenate(keys)
 
 
-def _digest(tokens: np.ndarray) -> tuple[int, int]:
-    raw = xxhash.xxh3_128_digest(tokens.tobytes())
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+def _digest(tokens: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
 def _new_sets(batches, width: int):
@@ -124,35 +123,35 @@ def survey(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     def batch(n: int, columns: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
-    def counts(held: list[np.ndarray]) -> pa.RecordBatch:
-        """Shingles found often enough in the chunk, which is given up for it: one sorted copy is all that is held besides."""
-        shingles = np.concatenate(held)
-        held.clear()
+    def counts(shingles: np.ndarray) -> pa.RecordBatch:
+        """Shingles found often enough in the chunk, which is sorted in place for it."""
         shingles.sort()
         reach = HOT_IN_CHUNK - 1
-        often = np.unique(shingles[:len(shingles) - reach][shingles[:len(shingles) - reach] == shingles[reach:]]) if len(shingles) > reach else shingles[:0]
+        often = np.unique(shingles[:-reach][shingles[:-reach] == shingles[reach:]]) if len(shingles) > reach else shingles[:0]
         times = np.searchsorted(shingles, often, "right") - np.searchsorted(shingles, often, "left")
         return batch(len(often), {"shingle": often.view(np.int64), "times": times})
 
     def run(batches):
         seen: set = set()
-        held, size = [], 0
+        chunk, size = np.empty(HOT_CHUNK, np.uint64), 0
         for part in slices(batches):
             sets = [shingle_set(text or "", width) for text in part.column("text").to_pylist()]
             digests = [_digest(tokens) for tokens in sets]
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield batch(len(sets), {"doc_id": part.column("doc_id").to_pylist(), "n_shingles": [len(t) for t in sets],
-                                    "h1": [d[0] for d in digests], "h2": [d[1] for d in digests]})
+                                    "h1": halves[:, 0].copy(), "h2": halves[:, 1].copy()})
             for tokens, digest in zip(sets, digests):
-                if digest not in seen:
-                    held.append(tokens)
-                    size += len(tokens)
-                    if len(seen) < SEEN:
-                        seen.add(digest)
-            if size >= HOT_CHUNK:
-                yield counts(held)
-                held, size = [], 0
-        if held:
-            yield counts(held)
+                if digest in seen or len(tokens) > HOT_CHUNK:  # a set that fills a chunk alone repeats nothing in it
+                    continue
+                if size + len(tokens) > HOT_CHUNK:
+                    yield counts(chunk[:size])
+                    size = 0
+                chunk[size:size + len(tokens)] = tokens
+                size += len(tokens)
+                if len(seen) < SEEN:
+                    seen.add(digest)
+        if size:
+            yield counts(chunk[:size])
 
     both = settle(docs.select("doc_id", "text").mapInArrow(run, schema))
     return both.filter("n_shingles IS NOT NULL").drop("shingle", "times"), both.filter("times IS NOT NULL").select("shingle", "times")
