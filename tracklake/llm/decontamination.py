@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracklake.session import settle
+
 WINDOW = 8              # tokens of a template window
 MIN_LITERALS = 5        # of them not slots, else the window says too little
 MIN_WINDOWS = 6         # consistent windows that make a leak (13 tokens in a row); half of the windows of a short item
@@ -104,32 +106,76 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_window
                     "n_changed", (F.col("n_changed") == 0).alias("exact")))
 
 
-def _near_forms(df: DataFrame, text_col: str, keep: Column, width: int) -> DataFrame:
-    """The tokens of every text as templates (``_canon``), case-folded with typed numbers (``_fold``) and as they are (``_low``)."""
-    df = tokenised(df, text_col, keep)
-    df = df.withColumn("_low", F.transform("_raw", lambda t: F.lower(t)))
-    return df.withColumn("_fold", F.zip_with("_canon", "_low", lambda c, t: F.when(c == NAME, t).otherwise(c)))
+def _lowered(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.lower(t))
+
 
+def _folded(canon: Column, raw: Column) -> Column:
+    """Templates whose names are the case-folded tokens again."""
+    return F.zip_with(canon, raw, lambda c, t: F.when(c == NAME, F.lower(t)).otherwise(c))
 
-def _window(form: Column | str, at: Column, width: int) -> Column:
-    """The window that begins at ``at`` (from 1) in a form: ``t`` templates, ``f`` folded or, with too few literals, as it is."""
-    folded = F.slice("_fold", at, width)
-    literals = F.size(F.array_remove(F.array_remove(folded, NUMBER), UNIT))
-    exact = F.when(literals >= MIN_LITERALS, folded).otherwise(F.slice("_low", at, width))
-    if isinstance(form, str):
-        return F.slice("_canon", at, width) if form == "t" else exact
-    return F.when(form == "t", F.slice("_canon", at, width)).otherwise(exact)
 
+def _rolled(df: DataFrame, tokens: str, widths: list[int], name: str) -> DataFrame:
+    """``name`` + width: hashes of all windows of these widths, from the token hashes in ``tokens``.
 
-def _near_keys(width: int, short: list[int]) -> Column:
-    """(form, pos, key, n) of all windows; ``short`` are the lengths of benchmark items below a window, which are keyed whole."""
+    Windows of 2, 4, 8 ... tokens are hashed from the two halves before them and the other widths from such parts, so a window
+    costs a few hashes of two numbers, whatever its tokens. Each step is a projection of its own."""
+    parts, size = {1: tokens}, 1
+    while size * 2 <= max(widths, default=1):
+        before, size = parts[size], size * 2
+        parts[size] = f"{name}_part{size}"
+        df = df.withColumn(parts[size], F.transform(before, lambda h, i: F.xxhash64(h, F.get(before, i + size // 2))))
+    for width in widths:
+        pieces = [p for p in sorted(parts, reverse=True) if width & p]
+        starts = [sum(pieces[:k]) for k in range(len(pieces))]
+        rolled = F.transform(parts[pieces[0]], lambda h, i: F.xxhash64(h, *(F.get(parts[p], i + s) for p, s in zip(pieces[1:], starts[1:]))))
+        count = F.size(tokens) - (width - 1)
+        df = df.withColumn(f"{name}{width}", F.when(count > 0, F.slice(rolled, F.lit(1), F.greatest(count, F.lit(0)))).otherwise(F.array().cast("array<bigint>")))
+    return df.drop(*(p for p in parts.values() if p != tokens))
 
-    def keys(form: str, n: int) -> Column:
-        window = (lambda i: F.slice("_low", i, n)) if form == "w" else (lambda i: _window(form, i, n))
-        return F.when(F.size("_canon") >= n, F.transform(F.sequence(F.lit(1), F.size("_canon") - (n - 1)), lambda i: F.struct(
-            F.lit(form).alias("form"), i.alias("at"), F.lit(n).alias("n"), F.xxhash64(F.lit(form), window(i)).alias("key")))).otherwise(F.array())
 
-    return F.concat(keys("t", width), keys("f", width), *(keys("w", n) for n in short))
+def _exact_key(at: Column, width: int) -> Column:
+    return F.xxhash64(F.lit("exact"), _lowered(F.slice("_raw", at, width)))
+
+
+def _near_places(df: DataFrame, text_col: str, keep: Column, width: int, short: list[int]) -> DataFrame:
+    """Tokens and, for every text, the hashes of its windows as templates (``_t`` + width) and folded (``_f`` + width), the starts of the
+    windows that are compared as they are because they hold few literals (``_poor``, from 1), and the hashes of ``short`` whole items (``_w`` + n)."""
+    df = tokenised(df, text_col, keep)
+    df = df.withColumn("_th", F.transform("_canon", lambda c: F.xxhash64(c)))
+    df = df.withColumn("_fh", F.zip_with("_canon", F.arrays_zip(F.col("_th").alias("h"), F.col("_raw").alias("t")),
+                                         lambda c, x: F.when(c == NAME, F.xxhash64(F.lower(x["t"]))).otherwise(x["h"])))
+    df = df.withColumn("_slot", F.filter(F.transform("_canon", lambda c, i: F.when(c.isin(NUMBER, UNIT), i)), lambda i: i.isNotNull()))
+    many = width - MIN_LITERALS  # slots more than these make a window poor
+    last = F.size("_canon") - width
+    df = df.withColumn("_poor", F.when((last >= 0) & (F.size("_slot") > many), F.array_distinct(F.flatten(F.transform("_slot", lambda p, j: F.when(
+        F.get("_slot", j + many) - p < width, F.sequence(F.greatest(F.get("_slot", j + many) - width + 2, F.lit(1)), F.least(p, last) + 1))
+        .otherwise(F.array().cast("array<int>")))))).otherwise(F.array().cast("array<int>")))
+    df = _rolled(_rolled(df, "_th", [width], "_t"), "_fh", [width], "_f")
+    if short:
+        df = _rolled(df.withColumn("_lh", F.transform("_raw", lambda t: F.xxhash64(F.lower(t)))), "_lh", short, "_w")
+    return df
+
+
+def _near_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int]]:
+    """(item_id, n_tokens, form, n, at, key, item_tokens, item_values) of all windows, and the lengths of items below a window, whose whole is one."""
+    items = tokenised(benchmark, "text", F.col("item_id")).filter(F.size("_canon") >= MIN_LITERALS)
+    short = sorted(r[0] for r in items.filter(F.size("_canon") < width).select(F.size("_canon")).distinct().collect())
+    items = (_near_places(benchmark, "text", F.col("item_id"), width, short).filter(F.size("_canon") >= MIN_LITERALS))
+    entry = lambda form, n, at, key: F.struct(F.lit(form).alias("form"), F.lit(n).alias("n"), at.cast("int").alias("at"), key.alias("key"))
+    entries = F.concat(
+        F.transform(f"_t{width}", lambda h, i: entry("t", width, i + 1, h)),
+        F.transform(f"_f{width}", lambda h, i: entry("f", width, i + 1, F.when(F.array_contains("_poor", i + 1), _exact_key(i + 1, width)).otherwise(h))),
+        *(F.transform(f"_w{n}", lambda h, i: entry("w", n, i + 1, F.xxhash64(F.lit(n), h))) for n in short))
+    at, n = F.col("_k.at"), F.col("_k.n")
+    canon, raw = F.slice("_canon", at, n), F.slice("_raw", at, n)
+    exact = (F.col("_k.form") == "w") | ((F.col("_k.form") == "f") & F.array_contains("_poor", at))
+    windows = items.withColumn("_k", F.explode_outer(entries)).filter("_k IS NOT NULL").select(
+        "item_id", F.size("_canon").alias("n_tokens"), "_k.*",
+        F.when(exact, _lowered(raw)).when(F.col("_k.form") == "f", _folded(canon, raw)).otherwise(canon).alias("item_tokens"),
+        F.when(F.col("_k.form") == "t", raw).otherwise(_lowered(raw)).alias("item_values"))
+    return (windows.filter((F.col("form") != "w") | (F.col("n") == F.col("n_tokens")))
+            .filter((F.col("form") != "t") | (_literals(F.col("item_tokens")) >= MIN_LITERALS)).distinct(), short)
 
 
 NEAR = 8         # places by which inserted and deleted words may move the windows of one copy
@@ -138,42 +184,51 @@ COVERED = 0.75   # or this share of the item's tokens lies in consistent windows
 
 def near_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_windows: int = MIN_WINDOWS, id_col: str = "doc_id",
                text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """(doc_id, item_id) of all that ``leaks`` finds and of near copies beyond it.
+    """(doc_id, item_id, n_windows, coverage) of all that ``leaks`` finds and of near copies beyond it; ``coverage`` is the largest share of the
+    item's tokens in consistent windows.
 
     Of the windows of an alignment only those are dropped that contradict the most frequent filling of a slot; windows count once over
     all alignments up to ``NEAR`` places apart; a second key ignores case (and takes numbers as they are where a window has few
     literals); an item below a window and of ``MIN_LITERALS`` tokens or more is searched as a whole. An item leaks when
     ``min_windows`` or half of its windows agree, or those that agree hold ``COVERED`` of its tokens. Single alignments
-    are judged as well, so a wider view never loses what a narrow one shows."""
-    items = _near_forms(benchmark, text_col, F.col("item_id"), width).filter(F.size("_canon") >= MIN_LITERALS).distinct()
-    short = sorted(r[0] for r in items.filter(F.size("_canon") < width).select(F.size("_canon")).distinct().collect())
-    made = _near_forms(docs, text_col, F.col(id_col).alias("doc_id"), width)
-    picked = items.withColumn("_k", F.explode(_near_keys(width, short)))
-    values = F.when(F.col("_k.form") == "t", F.slice("_raw", F.col("_k.at"), F.col("_k.n"))).otherwise(F.slice("_low", F.col("_k.at"), F.col("_k.n")))
-    tokens = F.when(F.col("_k.form") == "w", F.slice("_low", F.col("_k.at"), F.col("_k.n"))).otherwise(_window(F.col("_k.form"), F.col("_k.at"), width))
-    windows = (picked.select("item_id", F.size("_canon").alias("n_tokens"), "_k.form", "_k.n", F.col("_k.at").alias("at"), "_k.key",
-                             tokens.alias("item_tokens"), values.alias("item_values"))
-               .filter((F.col("form") != "w") | (F.col("n") == F.col("n_tokens")))
-               .filter((F.col("form") != "t") | (_literals(F.col("item_tokens")) >= MIN_LITERALS)))
+    are judged as well, so a wider view never loses what a narrow one shows. Rows that repeat an id are taken together, a null id is an
+    id of its own, repeated items count as one; null and empty texts match nothing and an empty table on either side gives an empty result."""
+    windows, short = _near_windows(benchmark, width)
+    windows = settle(windows)
     totals = windows.groupBy("item_id", "form").agg(F.count_distinct("at").alias("n_item_windows"), F.max("n_tokens").alias("n_item_tokens"))
-    places = made.withColumn("_keys", _near_keys(width, short))
-    found_tokens = F.when(F.col("form") == "w", F.slice("_low", F.col("pos"), F.col("n"))).otherwise(_window(F.col("form"), F.col("pos"), width))
     windows = windows.drop("n_tokens")
-    if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
-        spread = places.select("doc_id", "_raw", "_canon", "_low", "_fold", F.explode_outer("_keys").alias("_p"))
-        hits = spread.select("doc_id", "_raw", "_canon", "_low", "_fold", F.col("_p.at").alias("pos"), F.col("_p.key").alias("key")).join(F.broadcast(windows), "key")
+    few = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
+    made = _near_places(docs, text_col, F.col(id_col).alias("doc_id"), width, short)
+    place = lambda at, key: F.struct(at.cast("int").alias("at"), key.alias("key"))
+    # Where template and folded window are the same, one key finds the items' windows of both forms.
+    folded = F.filter(F.transform(f"_f{width}", lambda h, i: F.when(h != F.get(f"_t{width}", i), place(i + 1, h))), lambda p: p.isNotNull())
+    keys = F.concat(F.transform(f"_t{width}", lambda h, i: place(i + 1, h)), folded, F.transform("_poor", lambda at: place(at, _exact_key(at, width))),
+                    *(F.transform(f"_w{n}", lambda h, i: place(i + 1, F.xxhash64(F.lit(n), h))) for n in short))
+    made = made.select("doc_id", "_raw", "_canon", keys.alias("_keys"))
+    if few:
+        hits = (made.select("doc_id", "_raw", "_canon", F.explode_outer("_keys").alias("_p"))
+                .select("doc_id", "_raw", "_canon", F.col("_p.at").alias("pos"), F.col("_p.key").alias("key")).join(F.broadcast(windows), "key"))
     else:
-        found = (places.select("doc_id", F.explode_outer("_keys").alias("_p")).select("doc_id", F.col("_p.at").alias("pos"), F.col("_p.key").alias("key"))
+        found = (made.select("doc_id", F.explode_outer("_keys").alias("_p")).select("doc_id", F.col("_p.at").alias("pos"), F.col("_p.key").alias("key"))
                  .join(windows, "key"))
-        hits = made.select(F.col("doc_id").alias("_doc"), "_raw", "_canon", "_low", "_fold").join(found, F.col("_doc").eqNullSafe(F.col("doc_id")))
-    given = F.when(F.col("form") == "t", F.slice("_raw", F.col("pos"), F.col("n"))).otherwise(F.slice("_low", F.col("pos"), F.col("n")))
-    hits = (hits.filter(found_tokens == F.col("item_tokens")).withColumn("_given", given)
-            .select("doc_id", "item_id", "form", "n", "at", (F.col("pos") - F.col("at")).alias("shift"), F.filter(
-                F.transform("item_tokens", lambda kind, k: F.struct(kind.alias("kind"), F.get("item_values", k).alias("asked"), F.get("_given", k).alias("given"))),
-                lambda s: s["kind"].isin(NUMBER, UNIT, NAME)).alias("slots")))
-    view = lambda kind, place: F.struct(F.lit(kind).alias("view"), place.cast("long").alias("place"))
+        hits = made.select(F.col("doc_id").alias("_doc"), "_raw", "_canon").join(found, F.col("_doc").eqNullSafe(F.col("doc_id")))
+    # Only what the key finds is cut out and compared in full.
+    hits = hits.select("doc_id", "item_id", "form", "n", "at", "pos", "item_tokens", "item_values",
+                       F.slice("_canon", F.col("pos"), F.col("n")).alias("_c"), F.slice("_raw", F.col("pos"), F.col("n")).alias("_r"))
+    hits = hits.withColumn("_low", _lowered(F.col("_r"))).withColumn("_fold", _folded(F.col("_c"), F.col("_r")))
+    rich = F.size(F.filter("_fold", lambda t: ~t.isin(NUMBER, UNIT))) >= MIN_LITERALS
+    tokens = F.when(F.col("form") == "t", F.col("_c")).when((F.col("form") == "f") & rich, F.col("_fold")).otherwise(F.col("_low"))
+    given = F.when(F.col("form") == "t", F.col("_r")).otherwise(F.col("_low"))
+    slots = F.filter(F.transform("item_tokens", lambda kind, k: F.struct(kind.alias("kind"), F.get("item_values", k).alias("asked"), F.get(given, k).alias("given"))),
+                     lambda s: s["kind"].isin(NUMBER, UNIT, NAME))
+    hits = hits.select("doc_id", "item_id", "form", "n", "at", (F.col("pos") - F.col("at")).alias("shift"), slots.alias("slots"),
+                       (tokens == F.col("item_tokens")).alias("_same"))
+    view = lambda kind, where: F.struct(F.lit(kind).alias("view"), where.cast("long").alias("place"))
     shift = F.col("shift")
-    grouped = (hits.withColumn("_view", F.explode(F.array(view(0, shift), view(1, F.floor(shift / (2 * NEAR))), view(2, F.floor((shift + NEAR) / (2 * NEAR))))))
+    views = F.array(view(0, shift), view(1, F.floor(shift / (2 * NEAR))), view(2, F.floor((shift + NEAR) / (2 * NEAR))))
+    # The comparison is part of the outer explode: as a filter it would move into the join, which then could not run compiled and
+    # would copy the tokens of a text for every one of its windows.
+    grouped = (hits.withColumn("_view", F.explode_outer(F.when(F.col("_same"), views))).filter("_view IS NOT NULL")
                .groupBy("doc_id", "item_id", "form", "n", "_view").agg(F.collect_set(F.struct("at", "shift", "slots")).alias("_found")))
     grouped = grouped.withColumn("_all", F.flatten(F.transform("_found", lambda w: w["slots"]))).withColumn("_fillings", F.array_distinct("_all"))
     grouped = grouped.withColumn("_tally", F.transform("_fillings", lambda s: F.struct(
@@ -184,10 +239,11 @@ def near_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, min_w
         F.filter("_found", lambda w: F.forall(w["slots"], lambda s: F.array_contains("_chosen", s))), lambda w: w["at"])))
     grouped = grouped.withColumn("n_windows", F.size("_at")).withColumn("n_covered", F.size(F.array_distinct(F.flatten(
         F.transform("_at", lambda at: F.sequence(at, at + F.col("n") - 1))))))
-    return (grouped.join(F.broadcast(totals) if windows.limit(broadcast_windows + 1).count() <= broadcast_windows else totals, ["item_id", "form"])
+    return (grouped.join(F.broadcast(totals) if few else totals, ["item_id", "form"])
             .filter((F.col("n_windows") >= F.least(F.lit(min_windows), F.ceil(F.col("n_item_windows") / 2)))
                     | (F.col("n_covered") >= COVERED * F.col("n_item_tokens")))
-            .select("doc_id", "item_id").distinct())
+            .groupBy("doc_id", "item_id").agg(F.max("n_windows").cast("long").alias("n_windows"),
+                                              F.max(F.col("n_covered") / F.col("n_item_tokens")).alias("coverage")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
