@@ -260,35 +260,52 @@ _IN = "(" + ", ".join(f"'{u}'" for u in UNITS) + ")"
 _SLOT = "('<number>', '<unit>', '<name>')"
 
 
-def _windows_sql(table: str, key: str) -> str:
+def _tokens_sql(table: str, key: str) -> str:
     marks = "('.', '!', '?', chr(10))"
-    return f"""SELECT * FROM (SELECT id, row_number() OVER w AS spot, list(canon) OVER (w ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS canon,
-    list(x) OVER (w ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS raw
-  FROM (SELECT id, i, x, CASE WHEN x[1] BETWEEN '0' AND '9' THEN '<number>'
-      WHEN before[1] BETWEEN '0' AND '9' AND lower(x) IN {_IN} THEN '<unit>'
-      WHEN before NOT IN {marks} AND x = upper(x[1]) || lower(x[2:]) AND x <> lower(x) THEN '<name>' ELSE lower(x) END AS canon
+    return f"""SELECT id, list(canon ORDER BY i) AS canon, list(x ORDER BY i) AS raw, list(lower(x) ORDER BY i) AS low,
+    list(CASE WHEN canon = '{NAME}' THEN lower(x) ELSE canon END ORDER BY i) AS fold
+  FROM (SELECT id, i, x, CASE WHEN x[1] BETWEEN '0' AND '9' THEN '{NUMBER}'
+      WHEN before[1] BETWEEN '0' AND '9' AND lower(x) IN {_IN} THEN '{UNIT}'
+      WHEN before NOT IN {marks} AND x = upper(x[1]) || lower(x[2:]) AND x <> lower(x) THEN '{NAME}' ELSE lower(x) END AS canon
     FROM (SELECT id, i, x, lag(x) OVER (PARTITION BY id ORDER BY i) AS before
-      FROM (SELECT {key} AS id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i
-        FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tok FROM {table})))
-    WHERE x NOT IN {marks})
-  WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE len(canon) = {WINDOW}"""
+      FROM (SELECT id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i
+        FROM (SELECT {key} AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tok FROM {table}))))
+  WHERE x NOT IN {marks} GROUP BY id"""
+
+
+def _forms_sql(source: str) -> str:
+    """(id, form, n, spot, tokens, vals) of all windows of a token table."""
+    spot = f"SELECT *, unnest(range(1, len(canon) - {WINDOW} + 2)) AS spot FROM {source}"
+    last = f"spot + {WINDOW - 1}"
+    poor = f"len(list_filter(fold[spot:{last}], lambda c: c NOT IN ('{NUMBER}', '{UNIT}'))) < {MIN_LITERALS}"
+    return f"""SELECT id, len(canon) AS n_tokens, 't' AS form, {WINDOW} AS n, spot, canon[spot:{last}] AS tokens, raw[spot:{last}] AS vals FROM ({spot})
+  UNION ALL SELECT id, len(canon), 'f', {WINDOW}, spot, CASE WHEN {poor} THEN low[spot:{last}] ELSE fold[spot:{last}] END, low[spot:{last}] FROM ({spot})
+  UNION ALL SELECT id, len(canon), 'w', n, spot, low[spot:spot + n - 1], low[spot:spot + n - 1]
+    FROM (SELECT *, unnest(range(1, len(canon) - n + 2)) AS spot
+          FROM {source}, (SELECT DISTINCT len(canon) AS n FROM item_tok WHERE len(canon) BETWEEN {MIN_LITERALS} AND {WINDOW - 1}))"""
 
 
 ORACLE_SQL = f"""
-WITH item AS (SELECT DISTINCT * FROM ({_windows_sql('benchmark', 'item_id')}) q
-              WHERE len(list_filter(canon, lambda c: c NOT IN {_SLOT})) >= {MIN_LITERALS}),
-total AS (SELECT id, count(*) AS n FROM item GROUP BY id),
-hit AS (SELECT d.id AS doc_id, i.id AS item_id, i.spot, d.spot - i.spot AS shift, d.canon, d.raw AS given, i.raw AS asked
-        FROM ({_windows_sql('documents', 'doc_id')}) d JOIN item i ON d.canon = i.canon),
-counted AS (SELECT doc_id, item_id, shift, count(DISTINCT spot) AS n FROM hit GROUP BY ALL),
-slot AS (SELECT DISTINCT doc_id, item_id, shift, canon[k] AS kind, asked[k] AS asked, given[k] AS given
-         FROM hit, (SELECT unnest(range(1, {WINDOW + 1})) AS k) ks WHERE canon[k] IN {_SLOT}),
-filled AS (SELECT doc_id, item_id, shift, count(*) AS n_all, count(DISTINCT kind || ' ' || asked) AS n_asked,
-           count(*) FILTER (asked <> given) AS changed FROM slot GROUP BY ALL),
-best AS (SELECT c.doc_id, c.item_id, n, coalesce(changed, 0) AS changed,
-         row_number() OVER (PARTITION BY c.doc_id, c.item_id ORDER BY n DESC, coalesce(changed, 0)) AS place
-         FROM counted c LEFT JOIN filled f ON c.doc_id = f.doc_id AND c.item_id = f.item_id AND c.shift = f.shift
-         WHERE n_all IS NULL OR n_all = n_asked)
-SELECT doc_id, item_id, best.n AS n_windows, total.n AS n_item_windows, best.n / total.n AS coverage, changed AS n_changed, changed = 0 AS exact
-FROM best JOIN total ON total.id = best.item_id WHERE place = 1 AND best.n >= least({MIN_WINDOWS}, ceil(total.n / 2))
+WITH item_tok AS ({_tokens_sql('benchmark', 'item_id')}), doc_tok AS ({_tokens_sql('documents', 'doc_id')}),
+item AS (SELECT DISTINCT * FROM ({_forms_sql('item_tok')}) q WHERE n_tokens >= {MIN_LITERALS} AND (form <> 'w' OR n = n_tokens)
+         AND (form <> 't' OR len(list_filter(tokens, lambda c: c NOT IN {_SLOT})) >= {MIN_LITERALS})),
+total AS (SELECT id, form, count(DISTINCT spot) AS n_windows, max(n_tokens) AS n_tokens FROM item GROUP BY ALL),
+hit AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, i.form, i.n, i.spot, d.spot - i.spot AS shift, i.tokens, i.vals AS asked, d.vals AS given
+        FROM ({_forms_sql('doc_tok')}) d JOIN item i ON d.form = i.form AND d.n = i.n AND d.tokens = i.tokens),
+seen AS (SELECT *, 0 AS seen, shift AS place FROM hit UNION ALL SELECT *, 1, floor(shift / {2 * NEAR}) FROM hit
+         UNION ALL SELECT *, 2, floor((shift + {NEAR}) / {2 * NEAR}) FROM hit),
+slot AS (SELECT doc_id, item_id, form, n, seen, place, spot, shift, tokens[k] AS kind, asked[k] AS asked, given[k] AS given
+         FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM seen) WHERE tokens[k] IN {_SLOT}),
+filled AS (SELECT doc_id, item_id, form, n, seen, place, kind, asked, given, row_number() OVER (
+             PARTITION BY doc_id, item_id, form, n, seen, place, kind, asked ORDER BY count(*) DESC, asked = given DESC, given DESC) AS nth
+           FROM slot GROUP BY doc_id, item_id, form, n, seen, place, kind, asked, given),
+bad AS (SELECT DISTINCT doc_id, item_id, form, n, seen, place, spot, shift FROM slot
+        JOIN filled USING (doc_id, item_id, form, n, seen, place, kind, asked, given) WHERE nth > 1),
+agreed AS (SELECT doc_id, item_id, form, n, seen, place, count(DISTINCT spot) AS n_windows,
+           len(list_distinct(flatten(list(range(spot, spot + n))))) AS n_covered
+           FROM seen ANTI JOIN bad USING (doc_id, item_id, form, n, seen, place, spot, shift) GROUP BY ALL)
+SELECT doc_id, item_id, max(a.n_windows) AS n_windows, max(n_covered / n_tokens) AS coverage
+FROM agreed a JOIN total t ON t.id = item_id AND t.form = a.form
+WHERE a.n_windows >= least({MIN_WINDOWS}, ceil(t.n_windows / 2)) OR n_covered >= {COVERED} * n_tokens
+GROUP BY doc_id, item_id
 """

@@ -43,7 +43,7 @@ def op7_positive_unlabelled_quality(spark, folder):
 
 @query(decontamination.ORACLE_SQL)
 def op1_template_decontamination(spark, folder):
-    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.near_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 @query(signature_tree.ORACLE_SQL)
