@@ -8,6 +8,7 @@ import re
 import statistics
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -460,3 +461,17 @@ def test_pipeline_result_is_that_of_its_stages(spark):
         docs = stage(spark, docs, FOLDER)
     got = corpus_pipeline.run(spark, FOLDER)
     assert sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_op1_query_reports_near_copies(spark, tmp_path):
+    """The registered query and its SQL on an edited, a recased and a repeated copy, a null and an empty text."""
+    text = "when Anna met Boris near Dresden they took the slow train to Prague and then walked 12 km with Clara along the dark river home"
+    docs = [(1, text.lower()), (2, text.replace("slow", "very slow")), (3, f"{text}. {text}"), (4, None), (5, ""), (6, "nothing of this kind is said in here at all by anyone")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text), (1, text), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"], r["n_windows"], r["coverage"]) for r in queries.op1_template_decontamination(spark, str(tmp_path)).collect()}
+    assert {g[:2] for g in got} == {(1, 1), (2, 1), (3, 1)}
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert set(con.execute(decontamination.ORACLE_SQL).fetchall()) == got

@@ -264,13 +264,13 @@ def _tokens_sql(table: str, key: str) -> str:
     marks = "('.', '!', '?', chr(10))"
     return f"""SELECT id, list(canon ORDER BY i) AS canon, list(x ORDER BY i) AS raw, list(lower(x) ORDER BY i) AS low,
     list(CASE WHEN canon = '{NAME}' THEN lower(x) ELSE canon END ORDER BY i) AS fold
-  FROM (SELECT id, i, x, CASE WHEN x[1] BETWEEN '0' AND '9' THEN '{NUMBER}'
+  FROM (SELECT id, r, i, x, CASE WHEN x[1] BETWEEN '0' AND '9' THEN '{NUMBER}'
       WHEN before[1] BETWEEN '0' AND '9' AND lower(x) IN {_IN} THEN '{UNIT}'
       WHEN before NOT IN {marks} AND x = upper(x[1]) || lower(x[2:]) AND x <> lower(x) THEN '{NAME}' ELSE lower(x) END AS canon
-    FROM (SELECT id, i, x, lag(x) OVER (PARTITION BY id ORDER BY i) AS before
-      FROM (SELECT id, unnest(tok) AS x, generate_subscripts(tok, 1) AS i
-        FROM (SELECT {key} AS id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tok FROM {table}))))
-  WHERE x NOT IN {marks} GROUP BY id"""
+    FROM (SELECT id, r, i, x, lag(x) OVER (PARTITION BY r ORDER BY i) AS before
+      FROM (SELECT id, r, unnest(tok) AS x, generate_subscripts(tok, 1) AS i
+        FROM (SELECT {key} AS id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tok FROM {table}))))
+  WHERE x NOT IN {marks} GROUP BY id, r"""
 
 
 def _forms_sql(source: str) -> str:
