@@ -422,17 +422,39 @@ def plain_best_fit(sizes, sources, clusters, capacity, per_source):
     return out, bins
 
 
-def test_bins_against_a_search_over_all_bins():
-    r = random.Random(2)
-    sizes = sorted((r.randint(1, 100) for _ in range(300)), reverse=True)
-    sources, clusters = [r.choice([None, "a", "a", "b"]) for _ in sizes], [None] * 300
-    bins = packing.Bins(100, 3)
+@pytest.mark.parametrize("seed, per_source, copies", [(2, 3, 0), (3, 1, 40), (4, 2, 12), (5, 4, 3)])
+def test_bins_against_a_search_over_all_bins(seed, per_source, copies):
+    r = random.Random(seed)
+    sizes = sorted((r.choice([r.randint(1, 100), 7, 20]) for _ in range(600)), reverse=True)
+    sources = [r.choice([None, "a", "a", "a", "b", "c"]) for _ in sizes]
+    clusters = [r.randrange(copies) if copies and r.random() < 0.5 else None for _ in sizes]
+    bins = packing.Bins(100, per_source)
     left = []
     for size, source, cluster in zip(sizes, packing.bits(sources), packing.bits(clusters)):
         b = bins.place(size, source, cluster)
-        left.append(bins.residual[b])
-    assert sum(left[:50]) == sum(plain_best_fit(sizes[:50], sources[:50], clusters[:50], 100, 3)[0])
-    assert sum(bins.residual) + sum(sizes) == 100 * len(bins.residual)
+        left.append((b, bins.residual[b]))
+    plain, plain_bins = plain_best_fit(sizes, sources, clusters, 100, per_source)
+    assert [rest for _, rest in left] == plain
+    assert bins.residual == [b["rest"] for b in plain_bins]
+
+
+@pytest.mark.parametrize("kind", ["one source", "one cluster", "pairs of one source"])
+def test_bins_that_refuse_are_not_tried_for_every_piece(kind, monkeypatch):
+    looks, first = [], packing.Bins._first
+    monkeypatch.setattr(packing.Bins, "_first", lambda self, *a: looks.append(1) or first(self, *a))
+    n = 20_000
+    bins = packing.Bins(4_096, 4)
+    for i in range(n):
+        bins.place(40 - 30 * i // n, 0 if kind == "one cluster" else 1, {"one source": 0, "one cluster": 1}.get(kind, 1 << i // 2 % 500))
+    assert len(bins.residual) == (n if kind == "one cluster" else n // 4)
+    assert len(looks) < 3 * n
+
+
+def test_short_pieces_are_dealt_to_more_shards(spark):
+    lengths = spark.range(1_000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("n_words"),
+                                        F.lit("s").alias("source"), F.lit(None).cast("string").alias("cluster"))
+    got = packing.pack(lengths, shard_pieces=100)
+    assert got.count() == 1_000 and got.select(F.split("bin_id", "-")[0]).distinct().count() == 10
 
 
 def test_packed_bins_hold_no_conflict(spark, texts):
