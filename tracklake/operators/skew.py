@@ -28,16 +28,19 @@ def hot_join(facts: DataFrame, lookup: DataFrame, on: list[str], weight: str = "
     return facts.join(F.broadcast(hot), on).unionByName(rest)
 
 
-def global_index(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
-    """Consecutive positions 0..n-1 in a total order, without sorting everything in one task.
+def delivered_index(df: DataFrame, name: str = "pos") -> DataFrame:
+    """Consecutive positions 0..n-1 in the order in which ``df`` delivers its rows, without one task that sees them all.
 
-    Rows are range-partitioned and ranked within their partition; the sizes of the partitions before it
-    are then added. The sort is settled first, since its boundaries are sampled."""
-    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order)
-                    .withColumn("_part", F.spark_partition_id()).withColumn("_local", F.monotonically_increasing_id()))
+    The frame is settled, so that its partitions and their order stay; the sizes of the partitions before a row are added."""
+    placed = settle(df.withColumn("_part", F.spark_partition_id()).withColumn("_local", F.monotonically_increasing_id()))
     # monotonically_increasing_id is partition << 33 plus the row number inside the partition
     placed = placed.withColumn("_local", F.col("_local").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = placed.groupBy("_part").agg((F.max("_local") + 1).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     return (placed.join(F.broadcast(before), "_part")
             .withColumn(name, F.col("_local") + F.col("_before")).drop("_part", "_local", "_before"))
+
+
+def global_index(df: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """Consecutive positions 0..n-1 in a total order: rows are range-partitioned and sorted within their partition."""
+    return delivered_index(df.repartitionByRange(*order).sortWithinPartitions(*order), name)

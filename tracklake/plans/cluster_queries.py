@@ -13,6 +13,7 @@ from tracklake.functions.vectors import squared_distance
 from tracklake.operators import cf_tree, linkage, metrics, partitioning, prep, selection
 from tracklake.operators import dbscan as density
 from tracklake.operators.neighbours import collapse, tile_neighbours
+from tracklake.operators.skew import delivered_index
 from tracklake.operators.tiles import tile_points
 from tracklake.operators.views import complete_tracks
 from tracklake.plans import clustering
@@ -332,6 +333,13 @@ def rank_runs(lib):
     return selection.manifest(_run_table(lib))
 
 
+@query("""SELECT row_number() OVER (ORDER BY silhouette DESC, calinski_harabasz DESC, davies_bouldin, algorithm) - 1 AS position, algorithm
+          FROM run_table""")
+def rank_runs_order(lib):
+    """The place at which the manifest delivers each run."""
+    return delivered_index(rank_runs(lib).select("algorithm"), "position")
+
+
 @query("""SELECT * FROM run_table WHERE coverage_ratio >= 0.6 OR NOT EXISTS (SELECT 1 FROM run_table WHERE coverage_ratio >= 0.6)
           ORDER BY silhouette DESC, calinski_harabasz DESC, davies_bouldin, algorithm LIMIT 1""")
 def choose_best(lib):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklake.constants import MODEL_FEATURES
 from tracklake.operators import flatten, ingest, selection, views
+from tracklake.operators.skew import delivered_index
 from tracklake.plans import importing
 from tracklake.plans.registry import query, shared
 from tracklake.session import scratch_path
@@ -35,7 +36,7 @@ def feature_view(lib: StarLibrary) -> DataFrame:
 # ---------------------------------------------------------------- views
 
 # Written from the star schema itself, so that it shares nothing with the derived tables of the engine.
-@query("""
+_HISTORY = """
     WITH brand AS (SELECT p_brand AS b, min(p_type) AS kind, CAST(count(*) AS INT) AS pieces FROM part GROUP BY p_brand),
     played AS (SELECT l_partkey AS p, l_shipdate AS played_at FROM lineitem GROUP BY ALL),
     credit AS (SELECT l_partkey AS p, list_distinct(list(l_suppkey)) AS who FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY ALL),
@@ -49,11 +50,21 @@ def feature_view(lib: StarLibrary) -> DataFrame:
            concat('urn:al:', p_brand) AS album_url, CAST(performer AS INT) AS track_artist_order, 'ar' || performer AS track_artist_id,
            one.s_name AS track_artist_name, 'urn:ar:' || performer AS track_artist_url, CAST(owner AS INT) AS album_artist_order,
            'ar' || owner AS album_artist_id, two.s_name AS album_artist_name, 'urn:ar:' || owner AS album_artist_url
-    FROM played JOIN pair USING (p) LEFT JOIN supplier one ON one.s_suppkey = performer LEFT JOIN supplier two ON two.s_suppkey = owner""")
+    FROM played JOIN pair USING (p) LEFT JOIN supplier one ON one.s_suppkey = performer LEFT JOIN supplier two ON two.s_suppkey = owner"""
+
+
+@query(_HISTORY)
 def play_history(lib):
     return views.play_history(lib.track_events, lib.tracks, lib.albums, lib.track_artists, lib.album_artists, lib.artists)
 
 
+@query(f"""SELECT row_number() OVER (ORDER BY played_at DESC, track_id, track_artist_order NULLS FIRST, album_artist_order NULLS FIRST) - 1 AS position,
+                  played_at, track_id, track_artist_id, album_artist_id FROM ({_HISTORY}) h""")
+def play_history_order(lib):
+    """The place at which the play history delivers each of its rows."""
+    return delivered_index(play_history(lib).select("played_at", "track_id", "track_artist_id", "album_artist_id"), "position")
+
+
 @query(f"""
     SELECT *, CAST({_AVAILABLE} AS INT) AS available_feature_count,
            CAST(13 - ({_AVAILABLE}) AS INT) AS missing_feature_count
@@ -62,6 +73,12 @@ def track_feature_view(lib):
     return views.in_library_order(views.count_features(feature_view(lib)))
 
 
+@query("SELECT row_number() OVER (ORDER BY track_name NULLS FIRST, track_id) - 1 AS position, track_id, track_name FROM feature_view")
+def track_feature_view_order(lib):
+    """The place at which the view delivers each track."""
+    return delivered_index(track_feature_view(lib).select("track_id", "track_name"), "position")
+
+
 @query(f"""
     SELECT *, 13 AS available_feature_count, 0 AS missing_feature_count
     FROM feature_view WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MODEL_FEATURES)}""")
