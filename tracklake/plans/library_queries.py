@@ -231,10 +231,7 @@ def flatten_artist_rows(lib):
           UNION ALL
           SELECT 'album', p_brand, p_brand, 0 FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def flatten_bridge_rows(lib):
-    out = flatten.flatten_played(_played_pages(lib))
-    track = out["track_artists"].select(F.lit("track").alias("side"), F.col("track_id").alias("owner_id"), "artist_id", "artist_order")
-    album = out["album_artists"].select(F.lit("album").alias("side"), F.col("album_id").alias("owner_id"), "artist_id", "artist_order")
-    return track.unionByName(album)
+    return _drop_order(flatten.played_bridges(_played_pages(lib)))
 
 
 @query("""SELECT concat('p', CAST(o_orderkey AS STRING)) AS playlist_id, concat('order ', CAST(o_orderkey AS STRING)) AS name,
