@@ -22,7 +22,7 @@ def test_landed_pages_are_compressed_and_in_order(spark, tmp_path):
     for round_no in (1, 2):
         _land(StarLibrary(spark, str(star)), str(folder), round_no)
     files = [f for f in folder.rglob("part-*") if f.is_file()]
-    assert len(files) == 8 and all(f.name.endswith(".gz") for f in files)
+    assert len(files) == 7 and all(f.name.endswith(".gz") for f in files)
 
     def tracks(kind):
         pages = read_pages(spark, str(folder / kind / "round=2"), kind).collect()
