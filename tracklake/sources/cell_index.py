@@ -19,6 +19,12 @@ from tracklake.operators.search import RESULT
 from tracklake.operators.tiles import block_cost, exact_cost, matrix
 
 CELL_ROWS, MOST_CELLS, PLACES = 512, 4096, 64
+PLACED_ROWS = 256  # rows that a task compares with all pivots at a time: 8 MB a matrix at MOST_CELLS
+
+
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest pivot; what is held of the distances does not grow with the rows."""
+    return np.concatenate([block_cost(vectors[i:i + PLACED_ROWS], pivots, "l2").argmin(1) for i in range(0, len(vectors), PLACED_ROWS)])
 
 
 def write_cells(index: DataFrame, path: str, cell_rows: int = CELL_ROWS) -> int:
@@ -31,7 +37,7 @@ def write_cells(index: DataFrame, path: str, cell_rows: int = CELL_ROWS) -> int:
         for batch in batches:
             if len(batch):
                 vectors = matrix(batch["vector"])
-                cell = block_cost(vectors, pivots, "l2").argmin(1)
+                cell = nearest_pivots(vectors, pivots)
                 yield batch.assign(cell=cell.astype("int32"), off=exact_cost(vectors, pivots[cell], "l2"))
 
     schema = T.StructType([*index.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("off", T.DoubleType())])
