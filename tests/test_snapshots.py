@@ -9,10 +9,11 @@ from pyspark.sql.types import StructType
 
 from tracklake.operators import enrich, search
 from tracklake.operators.ingest import append_new, fill_stored
+from tracklake.plans import registry, search_queries  # noqa: F401  (it registers its queries)
 from tracklake.session import settle
 from tracklake.sources import index_store
 from tracklake.sources.cell_index import CellIndex, write_cells
-from tracklake.sources.library import ParquetLibrary
+from tracklake.sources.library import ParquetLibrary, StarLibrary
 from tracklake.sources.snapshots import Conflict, SnapshotTable
 
 SCHEMA = "id string, a int, b int"
@@ -125,3 +126,20 @@ def test_frames_with_gaps_and_of_different_widths(spark):
     frames = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, None]), ("a", [5.0]), ("b", None), ("b", [None]), ("c", [])], "k string, scores array<double>")
     got = sorted(tuple(r) for r in enrich.mean_pool(frames, ["k"]).collect())
     assert got == [("a", 0, 3.0), ("a", 1, 2.0), ("b", 0, None)]
+
+
+def test_an_index_over_snapshots_joins_its_view_once(spark, monkeypatch, tmp_path):
+    parts = spark.range(1, 40).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "concat('Brand#', 1 + id % 3) AS p_brand",
+                                          "'TIN' AS p_type", "CAST(id % 40 AS INT) AS p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("SELECT 1L AS s_suppkey, 'one' AS s_name, 0 AS s_nationkey, -1.0D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    parts.selectExpr("p_partkey AS l_partkey", "1L AS l_suppkey", "p_partkey AS l_orderkey", "CAST(41 + p_partkey % 9 AS DOUBLE) AS l_quantity", "0.05D AS l_discount",
+                     "0.02D AS l_tax", "IF(p_partkey % 2 = 0, 'R', 'N') AS l_returnflag", "'O' AS l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    scans, plans, scan, build = [], [], StarLibrary._scan, index_store.build
+    monkeypatch.setattr(StarLibrary, "_scan", lambda self, name: scans.append(name) or scan(self, name))
+    monkeypatch.setattr(index_store, "build", lambda spark, path, view, *a, **k: plans.append(view._jdf.queryExecution().optimizedPlan().toString())
+                        or build(spark, path, view, *a, **k))
+    rows = {r["step"]: (r["n"], r["current"]) for r in registry.QUERIES["index_freshness"](spark, str(tmp_path)).collect()}
+    assert rows == {"built": (39, True), "nothing new": (39, True), "without valence": (3, True), "valence filled": (39, False), "built again": (39, True), "filled": (0, True)}
+    assert scans.count("track_features") == 1
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
