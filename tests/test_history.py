@@ -70,3 +70,25 @@ def test_pairs_are_listed_after_the_last_exchange(spark):
         above = plan[:plan.index("Sort [")] if "Sort [" in plan else plan[:plan.index("Window [")]
         assert "Generate inline" in above or "Generate posexplode" in above
         assert above.count("Generate") == 3
+
+
+def single(t):
+    """No place of two artists: the rows of a place differ in the album's artist alone."""
+    return t | {"track_artists": [("t1", "a1", 2), ("t1", "a2", 1), ("t1", "a9", None), ("t3", "a1", 0)]}
+
+
+@pytest.mark.parametrize("twice", [(), ("track_events",), ("album_artists",), ("track_artists",), ("albums",)])
+def test_history_with_one_artist_a_place(spark, twice):
+    t = {n: rows * (1 + (n in twice)) for n, rows in single(ROWS).items()}
+    want = by_hand(t)
+    got = [tuple(r) for r in views.play_history(*tables(spark, t)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert [sort_key(r) for r in got] == sorted(map(sort_key, want))
+
+
+def test_last_list_holds_the_owners_alone(spark):
+    """What a play's rows share is not listed for every pair."""
+    plan = views.play_history(*tables(spark, single(ROWS)))._jdf.queryExecution().optimizedPlan().toString()
+    last = plan[plan.index("Generate inline"):].split("\n")[0]
+    made = last[last.rindex("["):]
+    assert "album_artist_id" in made and "album_name" not in made and "track_artist_id" not in made
