@@ -92,6 +92,23 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute_components(rows, 5, 80)}
 
 
+def test_near_duplicates_leave_texts_where_they_lie(spark, monkeypatch):
+    """Neither the candidates nor the kept documents are found by a shuffle of all texts."""
+    rows, found, search = families(6), [], signature_tree.linked_sets
+    monkeypatch.setattr(signature_tree, "linked_sets", lambda *a: found.append(search(*a)) or found[-1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = signature_tree.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found[0], kept)]
+        assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute_components(rows, 5, 80)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for plan, kind in zip(plans, ("LeftSemi", "LeftAnti")):
+        assert any("BroadcastHashJoin" in line and kind in line for line in plan.splitlines())
+    assert "Exchange hashpartitioning" not in plans[1]
+
+
 def brute_repeats(rows, width=20):
     seen, out = set(), {}
     for doc, text in sorted(rows):

@@ -86,11 +86,11 @@ def drawn(share: float, *keys) -> Column:
 BROADCAST_IDS = 1_000_000  # ids of eight bytes: a broadcast of at most some tens of megabytes
 
 
-def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among the stored, distinct ``ids``: by broadcast while these are few, else by a
-    shuffled semi join with the same rows."""
+def only(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among the stored ``ids`` (``left_anti``: is not): by broadcast while these are few, so that
+    no text is moved, else by a shuffled join with the same rows."""
     few = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
 def filter_rows(docs: DataFrame, keep: Callable[[str], bool], text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracklake.llm.common import components, map_texts, slices, unique_documents
+from tracklake.llm.common import components, map_texts, only, slices, unique_documents
 from tracklake.llm.shingles import mixed, shingle_set
 from tracklake.session import settle
 
@@ -296,7 +296,7 @@ def _grouped(batches):
 
 def linked_sets(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): a forest of links between the members (doc_id, cluster, n_shingles) of the candidate clusters."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, ids = docs.schema["doc_id"].dataType.simpleString(), members.select("doc_id")
     q = F.floor(F.log("n_shingles") / F.log(F.lit(SIZE_STEP))).cast("int")
     members = members.withColumn("q", q)
     totals = members.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("total"))
@@ -322,7 +322,7 @@ def linked_sets(members: DataFrame, docs: DataFrame, width: int, percent: int) -
     def cut(text: str) -> tuple:
         return (shingle_set(text, width).tobytes(),)
 
-    sets = map_texts(docs.join(members.select("doc_id"), "doc_id"), cut, "tokens binary")
+    sets = map_texts(only(docs, ids), cut, "tokens binary")
     rows = sets.join(tasks, "doc_id").repartition("cluster", "pair").sortWithinPartitions("cluster", "pair", "side", "n_shingles", "doc_id")
 
     def run(batches):
@@ -373,7 +373,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (all columns) without the documents that reach a smaller id; rows without an id stay."""
     found = jaccard_components(docs, width, percent)
-    return docs.join(settle(found.filter("doc_id <> component_id").select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    return only(docs, settle(found.filter("doc_id <> component_id").select("doc_id")), how="left_anti").select(docs.columns)
 
 
 ORACLE_SQL = r"""
