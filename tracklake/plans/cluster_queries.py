@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -127,7 +128,9 @@ def gmm_facts(lib):
     points = settle(reduced.select(F.col("track_id").alias("id"), "vector"))
     ks = partitioning.sweep_range(points.count())
     models, shift = partitioning.mixture_models(points, ks, iterations=6)
-    after, _ = partitioning.mixture_models(points, ks, iterations=7, onward=(models, shift))
+    steps = max((len(m.likelihoods) for m in models), default=0)
+    # a model that is finished takes its next step as well
+    after, _ = partitioning.mixture_models(points, ks, iterations=steps + 1, onward=([replace(m, done=False) for m in models], shift))
     shares = partitioning.mixture_shares(points, models, shift)
     means = shares.select("k", F.posexplode("shares").alias("c", "share")).groupBy("k", "c").agg(F.avg("share").alias("mean"))
     weights = lib.spark.createDataFrame([(m.k, c, float(w)) for m in after for c, w in enumerate(m.weights)], "k int, c int, weight double")
